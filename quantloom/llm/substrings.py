@@ -297,10 +297,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     """(table, marks): row, doc_id, text (bytes) per document, and per row with repeats its list of (a, b), first and last repeated start."""
     table = written(_segments(docs, length, gram), "substring-segments")
     segs = table.select("row", F.explode("segs").alias("s")).select("row", "s.*")
-    twice = segs.groupBy("h").count().where("count > 1").select("h")
+    # Written, so that the join deals both sides anew and a hot anchor's rows can be split among tasks.
+    twice = written(segs.groupBy("h").count().where("count > 1").select("h"), "substring-twice")
     segs = written(segs.join(twice, "h", "left_semi"), "substring-repeats")
     classes = written(segs.groupBy("h", "g").agg(F.count("*").alias("count"), F.min(F.struct("row", "lo", "n", "off")).alias("at")), "substring-classes")
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("count").alias("least")).where("classes > 1 and least = 1").select("h", "classes")
+    groups = written(groups, "substring-groups")
     needed = classes.join(groups, "h").select("h", "g", "count", "classes", "at.*")
     lists = needed.groupBy("row").agg(F.collect_list(F.struct("h", "g", "count", "classes", "lo", "n", "off")).alias("want"))
     texts = table.select("row", "text").join(lists, "row").select("text", F.explode("want").alias("w"))
