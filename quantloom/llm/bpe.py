@@ -10,8 +10,10 @@ one huge word costs O(n log n); special-token strings inside a text become their
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
+import re
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import column, text_slices, worker_state
 
-WORD_CACHE = 400_000  # entries a worker keeps before it starts afresh; only speed depends on it
-ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space for str.split, ordinary characters for the vocabulary's pattern
+WORD_CACHE = 500_000  # entries of a cache generation (a worker keeps two); only speed depends on it
+#: Texts with one of these are encoded whole: white space for str.split only, letters whose
+#: lower case depends on what surrounds them, marks that compose differently after lowering.
+ODD = re.compile("[\x1c-\x1f\u0300-\u036fİΣ]")
+#: A single mark between a letter or digit and white space is a pre-token of its own.
+TRAILING = re.compile(r"(?<=[^\W_])([.,!?;:])(?!\S)")
 
 
 def byte_alphabet() -> list[str]:
@@ -36,10 +42,61 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def chunks(text: str | None) -> list[str] | None:
+    """Lower-case pieces that encode one by one as the text does, None if it must be encoded whole.
+
+    No pre-token crosses white space, and lower case is what the vocabulary sees.
+    """
+    if not text:
+        return []
+    if "<|" in text or ODD.search(text):
+        return None
+    return TRAILING.sub(r" \1", text.lower()).split()
+
+
+class ChunkCache:
+    """Encodes texts by way of their distinct chunks; two generations of at most WORD_CACHE chunks are kept."""
+
+    def __init__(self, encode_new, encode_whole):
+        self.encode_new, self.encode_whole = encode_new, encode_whole
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found, missing = [], {}
+        get = self.now.get
+        for i, text in enumerate(texts):
+            words = chunks(text)
+            if words is None:
+                found.append(None)
+                continue
+            got = list(map(get, words))
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                missing.setdefault(words[at], []).append((i, at))
+            found.append(got)
+        if missing:
+            if len(self.now) + len(missing) > WORD_CACHE:
+                self.before, self.now = self.now, {}
+            old, now = self.before, self.now
+            kept = {w: old[w] for w in missing if w in old}
+            new = [w for w in missing if w not in kept]
+            kept.update(zip(new, self.encode_new(new), strict=True))
+            for w, places in missing.items():
+                x = kept[w]
+                for i, at in places:
+                    found[i][at] = x
+                if len(w) <= 64:
+                    now[w] = x
+        return [self.encode_whole(t) if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
+
+
 class BpeCodec:
     """Encoder and decoder read from a `tokenizers` JSON file (BPE with an end-of-word suffix)."""
 
     def __init__(self, spec: str):
+        import numpy as np
         import regex
 
         j = json.loads(spec)
@@ -60,8 +117,7 @@ class BpeCodec:
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern, regex.V1).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.cache = ChunkCache(lambda new: [np.array(self.plain(w), "<u4").tobytes() for w in new], self.chunk)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -103,16 +159,9 @@ class BpeCodec:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower case goes letter by letter, without the final-sigma rule
             text = text.replace("Σ", "σ")
-        words, out = self.words, []
+        out = []
         for w in self.split(text.lower()):
-            ids = words.get(w)
-            if ids is None:
-                ids = self.merge(w)
-                if len(w) <= 64:
-                    if len(words) >= WORD_CACHE:
-                        words.clear()
-                    words[w] = ids
-            out += ids
+            out += self.merge(w)
         return out
 
     def chunk(self, text: str) -> bytes:
@@ -128,23 +177,8 @@ class BpeCodec:
                 ids += self.plain(part)
         return np.array(ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in ODD_SPACE):
-            return self.chunk(text)
-        # No pre-token crosses white space, so chunks between white space encode alone and repeat often.
-        known, out = self.chunks, []
-        for c in text.split():
-            x = known.get(c)
-            if x is None:
-                x = self.chunk(c)
-                if len(c) <= 64:
-                    if len(known) >= WORD_CACHE:
-                        known.clear()
-                    known[c] = x
-            out.append(x)
-        return b"".join(out)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.cache.encode(texts)
 
     def decode(self, ids) -> str:
         """The file names no decoder: vocabulary strings, separated by a space."""
@@ -177,11 +211,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, ids: bool = False) -> Dat
 
         c = codec(vocabulary, spec.value)
         sha = hashlib.sha256
+        gc.disable()  # no cycles arise here, and the caches are costly to walk
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, 1 << 18):  # small pieces: a chunk is new once
                 n, a, b, lists, texts = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    raw = c.encode(text)
+                for raw in c.encode(part.column(1).to_pylist()):
                     got = np.frombuffer(raw, "<u4")
                     back = c.decode(got.tolist())
                     n.append(len(got))

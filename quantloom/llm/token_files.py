@@ -17,12 +17,15 @@ rewritten; `export_files` puts them on a plain file system.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import ChunkCache
 from .common import column, partitions, text_slices, worker_state, written
 
 MAGIC, END = b"QLBP1\n", b"QLBPEND\n"
@@ -70,33 +73,45 @@ def unpack(image: bytes, blocks: range | None = None):
 
 
 def library_encoder(vocabulary: str, spec: str):
-    """Encode texts with the tokenizers library, chunk by chunk between white space, with a bounded cache."""
+    """A function from texts to the tokenizers library's ids (as bytes), by way of distinct chunks."""
     import numpy as np
 
     state = worker_state()
     if ("tok", vocabulary) not in state:
-        from tokenizers import Tokenizer
+        from unicodedata import is_normalized
+
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         t = Tokenizer.from_str(spec)
         t.no_truncation()
         t.no_padding()
-        state["tok", vocabulary] = (t, {})
-    t, known = state["tok", vocabulary]
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if len(known) > 400_000:
-            known.clear()
-        whole = {i for i, x in enumerate(texts) if x and any(c in x for c in "\x1c\x1d\x1e\x1f")}
-        cut = [[] if i in whole or not x else x.split() for i, x in enumerate(texts)]
-        new = list({c for words in cut for c in words if c not in known})
-        known.update(zip(new, ids(new), strict=True))
-        return [ids([texts[i]])[0] if i in whole else b"".join(map(known.__getitem__, words)) for i, words in enumerate(cut)]
-
-    return encode
+        # For chunks of letters in normal form the file's normalizer and pattern change nothing:
+        # such words go in together, and the end-of-word suffix tells where each ends.
+        plain = Tokenizer.from_str(spec)
+        plain.no_truncation()
+        plain.no_padding()
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or None
+        last = np.zeros(t.get_vocab_size(), bool)
+        last[[i for s, i in t.get_vocab().items() if suffix and s.endswith(suffix)]] = True
+
+        def whole(text: str) -> bytes:
+            return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def new(words: list[str]) -> list[bytes]:
+            known = {}
+            letters = [w for w in words if suffix and w.isalpha() and is_normalized("NFC", w)]
+            for i in range(0, len(letters), 1000):
+                part = letters[i : i + 1000]
+                ids = np.array(plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                raw, cuts = ids.tobytes(), (4 * np.flatnonzero(last[ids]) + 4).tolist()
+                known.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+            return [known[w] if w in known else whole(w) for w in words]
+
+        state["tok", vocabulary] = ChunkCache(new, whole)
+    return state["tok", vocabulary].encode
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -118,6 +133,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
         import pyarrow as pa
         from pyspark import TaskContext
 
+        gc.disable()  # no cycles arise here, and the caches are costly to walk
         encode = library_encoder(vocabulary, spec.value)
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
@@ -128,7 +144,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([image], pa.binary())], names=["part", "seq", "n_ids", "doc_ids", "lengths", "image"])
 
         for batch in batches:
-            for piece in text_slices(batch, 1):
+            for piece in text_slices(batch, 1, 1 << 18):  # small pieces: a chunk is new once
                 for d, raw in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
                     raw += end
                     buf.append(raw)
