@@ -79,20 +79,15 @@ def fit(x, stages: int = STAGES, words: int = WORDS, seed: int = SEED):
         books.append(book)
         rest = rest - book[(2 * rest @ book.T - (book * book).sum(1)).argmax(1)]
     if len(x) > 4 * words:
-        codes = encode(x, books)
         k = sum(map(len, books))
         base = np.cumsum([0, *map(len, books[:-1])])
-        cols = codes.astype(np.int64) + base
-        gram = np.zeros((k, k))
-        right = np.zeros((k, x.shape[1]))
-        for s in range(stages):
-            np.add.at(right, cols[:, s], x)
-            for t in range(stages):
-                gram += np.bincount(cols[:, s] * k + cols[:, t], minlength=k * k).reshape(k, k) if k <= 256 else 0
-        if k > 256:
-            onehot = np.zeros((len(x), k), np.float32)
-            np.put_along_axis(onehot, cols, 1, axis=1)
-            gram = (onehot.T @ onehot).astype(np.float64)
+        gram, right = np.zeros((k, k)), np.zeros((k, x.shape[1]))
+        for i in range(0, len(x), 512):  # bounded memory on the driver
+            part = x[i : i + 512]
+            onehot = np.zeros((len(part), k), np.float32)
+            np.put_along_axis(onehot, encode(part, books).astype(np.int64) + base, 1, axis=1)
+            gram += onehot.T @ onehot
+            right += onehot.T @ part
         new = np.linalg.solve(gram + np.eye(k), right + np.vstack(books)).astype(np.float32)
         books = np.split(new, base[1:])
     return [b.astype(np.float32) for b in books]
