@@ -160,22 +160,22 @@ def _(spark, sf):
 
 
 ASOF_SQL = """
-select b.symbol, b."timestamp", c."timestamp" ctx_ts, case when epoch_us(b."timestamp") - epoch_us(c."timestamp") <= {limit} then c."close" end ctx_close, coalesce(epoch_us(b."timestamp") - epoch_us(c."timestamp") > {limit}, false)::int is_stale, (epoch_us(b."timestamp") - epoch_us(c."timestamp")) / 60e6 lag_minutes
+select b.symbol, b."timestamp", c."timestamp" ctx_ts, case when epoch_us(b."timestamp") - epoch_us(c."timestamp") <= {limit} then c."close" end ctx_close, coalesce(epoch_us(b."timestamp") - epoch_us(c."timestamp") > {limit}, false)::int is_stale, epoch_us(b."timestamp") - epoch_us(c."timestamp") lag_us
 from minute_bars b asof left join (select *, "timestamp" + interval 5 minute avail from minute_bars where symbol = 'error') c on {on} b."timestamp" >= c.avail"""
 
 
 def _asof_out(df, name):
-    return df.select("symbol", "timestamp", F.col(f"{name}_context_timestamp").alias("ctx_ts"), "ctx_close", F.col(f"{name}_is_stale").cast("int").alias("is_stale"), F.col(f"{name}_effective_lag_minutes").alias("lag_minutes"))
+    return df.select("symbol", "timestamp", F.col(f"{name}_context_timestamp").alias("ctx_ts"), "ctx_close", F.col(f"{name}_is_stale").cast("int").alias("is_stale"), F.round(F.col(f"{name}_effective_lag_minutes") * 60e6).alias("lag_us"))
 
 
-@add("j5_j8_asof_global", "symbol s, timestamp t, ctx_ts t, ctx_close n, is_stale i, lag_minutes n", ["minute_bars"], ASOF_SQL.format(limit=1800 * 1000000, on=""))
+@add("j5_j8_asof_global", "symbol s, timestamp t, ctx_ts t, ctx_close n, is_stale i, lag_us i", ["minute_bars"], ASOF_SQL.format(limit=1800 * 1000000, on=""))
 def _(spark, sf):
     b = views.minute_bars(spark, sf)
     spec = asof.ContextSpec("err", lag="5min", max_staleness="30min", rename={"close": "ctx_close"})
     return _asof_out(asof.context_join(b, b.where("symbol = 'error'"), spec), "err")
 
 
-@add("j6_asof_by_symbol", "symbol s, timestamp t, ctx_ts t, ctx_close n, is_stale i, lag_minutes n", ["minute_bars"], ASOF_SQL.format(limit=7200 * 1000000, on="b.symbol = c.symbol and").replace("where symbol = 'error'", "where hour(\"timestamp\") % 2 = 0"))
+@add("j6_asof_by_symbol", "symbol s, timestamp t, ctx_ts t, ctx_close n, is_stale i, lag_us i", ["minute_bars"], ASOF_SQL.format(limit=7200 * 1000000, on="b.symbol = c.symbol and").replace("where symbol = 'error'", "where hour(\"timestamp\") % 2 = 0"))
 def _(spark, sf):
     b = views.minute_bars(spark, sf)
     spec = asof.ContextSpec("even", lag="5min", max_staleness="2h", join_on_symbol=True, rename={"close": "ctx_close"})

@@ -85,7 +85,7 @@ SQL = {
     "universe_rows": "select cast(l_suppkey as varchar) symbol, cast(l_shipdate as timestamp) \"timestamp\", l_quantity volume from lineitem",
     "options_rows": "select cast(l_suppkey % 10 as varchar) symbol, cast(l_shipdate as date) trade_date, case l_returnflag when 'A' then 'c' when 'N' then 'p' else 'x' end option_type, l_discount bid_iv, l_tax ask_iv, l_linenumber open_interest, cast(l_quantity as bigint) volume from lineitem",
     "cands": "select symbol ticker, sum(case when year(\"timestamp\") = 1996 then volume else 0 end) vol_1996, sum(case when year(\"timestamp\") between 1996 and 2001 then volume else 0 end) vol_combined, min(cast(\"timestamp\" as date)) start_date from universe_rows group by 1 having count(case when year(\"timestamp\") between 1996 and 2001 then 1 end) > 0 order by vol_combined desc, symbol limit 60",
-    "weekly_closes": "select ticker, date + cast((12 - dayofweek(date)) % 7 as integer) week, arg_max(close_price, date) close_price from daily_prices group by 1, 2",
+    "weekly_closes": "select ticker, date + cast((12 - dayofweek(date)) % 7 as integer) as week, arg_max(close_price, date) close_price from daily_prices group by 1, 2",
     "weekly_grid": "select week, row_number() over (order by week) idx from (select distinct week from weekly_closes)",
     "weekly_cov": "select ticker, count(close_price) n_observed, (select max(idx) from weekly_grid) n_periods, count(close_price) / (select max(idx) from weekly_grid)::double coverage from weekly_closes group by 1",
     "wpanel": "select ticker, date, idx, log_ret from (select ticker, week date, idx, case when idx - lag(idx) over w = 1 then ln(close_price / lag(close_price) over w) end log_ret from weekly_closes join weekly_grid using (week) where ticker in (select ticker from weekly_cov where coverage >= 0.8) window w as (partition by ticker order by idx)) where log_ret is not null",
