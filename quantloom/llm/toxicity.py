@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import column, text_slices
 
 FIT_ROWS = 2000
-STEMS = (4, 5, 6)  # lengths of the word beginnings that may become a pattern
+STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may become a pattern
 MAX_PATTERNS = 300
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]+|[\"“”«»]")
 
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash disgusting clown imbecile jerk bastard fool vermin garbage filthy ugly".split()
@@ -174,46 +175,60 @@ def describe(clauses: list[float]) -> list[float]:
     return [1.0, 1.0, math.log1p(sum(clauses)), min(3.0, max(clauses)), math.log1p(len(clauses))]
 
 
+def word_keys(text: str | None) -> tuple[set[str], int]:
+    """A text's words and word beginnings (marked *), and a signature that near copies mostly share."""
+    from zlib import crc32
+
+    words = set(LETTERS.findall((text or "").lower()))
+    stems = {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    return words | stems, min((crc32(w.encode()) for w in words), default=0)
+
+
 def learn_patterns(texts: list[str], toxic: list[int]) -> dict:
-    """Words and stems that mark toxic rows: greedy cover by evidence, so that copies of one document count once they are covered."""
+    """Words and stems that mark toxic rows, by greedy cover.
+
+    Rows count by signature, so that a word of one much-copied document is no evidence.
+    """
     import math
     from collections import defaultdict
 
-    rows: dict = defaultdict(list)
-    words = re.compile(r"[^\W\d_]{3,}")
-    for i, text in enumerate(texts):
-        seen = set(words.findall((text or "").lower()))
-        for w in seen | {w[:n] + "*" for w in seen for n in STEMS if len(w) > n}:
-            rows[w].append(i)
-    total = sum(toxic)
-    clean = len(toxic) - total
-    if not total or not clean:
-        return {"words": dict.fromkeys(INSULTS, 1.0), "stems": {}}
-    least = max(4, total // 100)
-    good: dict[str, float] = {}
-    sets: dict[str, set] = {}
-    for w, docs in rows.items():
-        hit = sum(toxic[i] for i in docs)
-        miss = len(docs) - hit
-        if hit < least or miss > hit // 50:
-            continue
-        odds = math.log((hit + 0.5) / (total + 1)) - math.log((miss + 0.5) / (clean + 1))
-        if odds > 2.5:
-            good[w] = odds
-            sets[w] = {i for i in docs if toxic[i]}
     out = {"words": dict.fromkeys(INSULTS, 1.0), "stems": {}}
+    hits, misses, signatures = defaultdict(set), defaultdict(set), (set(), set())
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            keys, sig = word_keys(text)
+            signatures[1].add(sig)
+            for k in keys:
+                hits[k].add(sig)
+    total = len(signatures[1])
+    least = max(4, total // 100)
+    hits = {k: s for k, s in hits.items() if len(s) >= least}
+    for text, y in zip(texts, toxic, strict=True):
+        if not y:
+            keys, sig = word_keys(text)
+            signatures[0].add(sig)
+            for k in keys & hits.keys():
+                misses[k].add(sig)
+    clean = len(signatures[0])
+    if not total or not clean:
+        return out
+    sets = {}
+    for k, s in hits.items():
+        hit, miss = len(s), len(misses[k])
+        if miss <= hit // 50 and math.log((hit + 0.5) / (total + 1)) - math.log((miss + 0.5) / (clean + 1)) > 2.5:
+            sets[k] = s
     covered: dict[int, int] = defaultdict(int)
     for _ in range(MAX_PATTERNS):
-        # A row counts until three patterns cover it; a short pattern that says as much goes first.
-        gain = {w: sum(covered[i] < 3 for i in s) * (1 if w.endswith("*") else 1.05) for w, s in sets.items()}
+        # A signature that one or two patterns cover counts a quarter, then no more; of equals the whole word, then the shorter.
+        gain = {k: sum((1, 0.25, 0.25, 0)[min(3, covered[i])] for i in s) * (1 if k.endswith("*") else 1.05) for k, s in sets.items()}
         if not gain or max(gain.values()) < least:
             break
-        best = max(gain, key=lambda w: (gain[w], -len(w), w))
+        best = max(gain, key=lambda k: (gain[k], -len(k), k))
         for i in sets.pop(best):
             covered[i] += 1
         if best.endswith("*"):
             out["stems"][best[:-1]] = 1.0
-            sets = {w: s for w, s in sets.items() if not w.startswith(best[:-1])}
+            sets = {k: s for k, s in sets.items() if not k.startswith(best[:-1])}
         else:
             out["words"][best] = 1.0
     return out
