@@ -28,22 +28,28 @@ class ContextSpec:
     rename: dict = field(default_factory=dict)
 
 
-def _last_row(left: DataFrame, right: DataFrame, keys: list[str], at: str = "timestamp") -> DataFrame:
-    """left (keys, at) plus _row, the right side's struct with the largest _avail at or before at; a null value stays null."""
-    both = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_row"].dataType).alias("_row")).unionByName(right.select(*keys, F.col("_avail").alias("_t"), F.lit(0).alias("_side"), "_row"))
+def _last_row(base: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """base plus _row, the right side's struct with the largest _avail at or before timestamp; a null value stays null.
+
+    Base rows travel through the window whole: one shuffle, no join back.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    none = F.lit(None)
+    both = base.select(*keys, F.col("timestamp").alias("_t"), F.lit(1).alias("_side"), whole.alias("_base"), none.cast(right.schema["_row"].dataType).alias("_row"))
+    both = both.unionByName(right.select(*keys, F.col("_avail").alias("_t"), F.lit(0).alias("_side"), none.cast(both.schema["_base"].dataType).alias("_base"), "_row"))
     w = W.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_side = 1").select(*keys, F.col("_t").alias(at), "_row")
+    return both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_side = 1").select("_base.*", "_row")
 
 
-def _last_row_global(left: DataFrame, right: DataFrame) -> DataFrame:
+def _last_row_global(base: DataFrame, right: DataFrame) -> DataFrame:
     """The same without a key: inside each day by a window, before it from the last right row of an earlier day."""
     day = lambda c: F.to_date(c).alias("_day")
-    here = _last_row(left.select("timestamp", day("timestamp")), right.select("_avail", "_row", day("_avail")), ["_day"])
+    here = _last_row(base.withColumn("_day", day("timestamp")), right.select("_avail", "_row", day("_avail")), ["_day"])
     ends = right.groupBy(day("_avail")).agg(F.max_by("_row", "_avail").alias("_end"))
-    days = left.select(day("timestamp")).distinct().join(ends, "_day", "full_outer")
+    days = base.select(day("timestamp")).distinct().join(ends, "_day", "full_outer")
     # One row per calendar day: the carried row of each day is the last of the days before it.
     carried = days.withColumn("_carry", F.last("_end", ignorenulls=True).over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)))
-    return here.join(carried.select("_day", "_carry"), "_day", "left").select("timestamp", F.coalesce("_row", "_carry").alias("_row"))
+    return here.join(carried.select("_day", "_carry"), "_day", "left").withColumn("_row", F.coalesce("_row", "_carry")).drop("_day", "_carry")
 
 
 def context_join(base: DataFrame, context: DataFrame, spec: ContextSpec) -> DataFrame:
@@ -61,9 +67,7 @@ def context_join(base: DataFrame, context: DataFrame, spec: ContextSpec) -> Data
     right = context.select(*keys, (F.col("timestamp") + F.expr(f"interval {int(lag * 1_000_000)} microseconds")).alias("_avail"), row.alias("_row"))
     if spec.align == "asof":
         right = right.groupBy(*keys, "_avail").agg(F.max("_row").alias("_row"))
-        left = base.select(*keys, "timestamp").distinct()
-        found = _last_row(left, right, keys) if keys else _last_row_global(left, right)
-        joined = base.join(found, [*keys, "timestamp"], "left")
+        joined = _last_row(base, right, keys) if keys else _last_row_global(base, right)
     elif spec.align == "exact":
         joined = base.join(right.withColumnRenamed("_avail", "timestamp"), [*keys, "timestamp"], "left")
     else:
@@ -95,5 +99,4 @@ def context_audit(joined: DataFrame, specs: list[ContextSpec]) -> DataFrame:
 def timeframe_join(base: DataFrame, coarse: DataFrame, column: str) -> DataFrame:
     """A coarser timeframe's feature on the base's rows: the last finished bucket of the symbol."""
     right = coarse.groupBy("symbol", F.col("timestamp").alias("_avail")).agg(F.max(F.struct(F.col(column).alias("v"))).alias("_row"))
-    found = _last_row(base.select("symbol", "timestamp").distinct(), right, ["symbol"])
-    return base.join(found.select("symbol", "timestamp", F.col("_row.v").alias(column)), ["symbol", "timestamp"], "left")
+    return _last_row(base, right, ["symbol"]).withColumn(column, F.col("_row.v")).drop("_row")

@@ -37,11 +37,14 @@ def coverage(grid: DataFrame) -> DataFrame:
 def return_panel(prices: DataFrame, freq: str = "daily", min_coverage: float = 0.80) -> DataFrame:
     """ticker, date, idx, log_ret: returns between neighbouring grid periods; a gap on either side gives none."""
     g = gridded(prices, freq)
-    if min_coverage:
-        g = g.join(coverage(g).where(F.col("coverage") >= min_coverage).select("ticker"), "ticker", "left_semi")
     w = W.partitionBy("ticker").orderBy("idx")
     near = F.when(F.col("idx") - F.lag("idx").over(w) == 1, F.lag("close_price").over(w))
-    return g.select("ticker", "date", "idx", safe_log(ratio("close_price", near)).alias("log_ret")).where("log_ret is not null")
+    # Coverage comes from the window the returns need anyway: no second pass, no join of the panel with itself.
+    out = g.select("ticker", "date", "idx", safe_log(ratio("close_price", near)).alias("log_ret"), F.count("close_price").over(W.partitionBy("ticker")).alias("_n"))
+    if min_coverage:
+        n = prices.select((week_friday("date") if frequency(freq) == "weekly" else F.col("date")).alias("d")).agg(F.countDistinct("d").alias("_periods"))
+        out = out.crossJoin(F.broadcast(n)).where(F.col("_n") >= min_coverage * F.col("_periods"))  # one row
+    return out.where("log_ret is not null").select("ticker", "date", "idx", "log_ret")
 
 
 def total_log_return(panel: DataFrame) -> DataFrame:

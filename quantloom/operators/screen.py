@@ -64,16 +64,22 @@ def weekly_closes(prices: DataFrame) -> DataFrame:
     return prices.where("close_price is not null").groupBy("ticker", week_friday("date").alias("week")).agg(F.max_by("close_price", "date").alias("close_price"))
 
 
+def weekly_stats(prices: DataFrame) -> DataFrame:
+    """weekly_volatility, n_weekly_returns and max_drawdown per ticker, from one window over the weekly closes.
+
+    Returns run between observed weeks (empty weeks are skipped); the drawdown is the largest
+    fall below the running maximum, zero or negative.
+    """
+    w = weekly_closes(prices).withColumns({"r": log_return(F.col("close_price"), ["ticker"], ["week"]), "dd": ratio("close_price", running_max("close_price", ["ticker"], ["week"])) - 1})
+    return w.groupBy("ticker").agg((F.stddev_samp("r") * F.sqrt(F.lit(float(WEEKS)))).alias("weekly_volatility"), F.count("r").alias("n_weekly_returns"), F.min("dd").alias("max_drawdown"))
+
+
 def weekly_volatility(prices: DataFrame) -> DataFrame:
-    """Annualised volatility of the log returns between observed weeks (empty weeks are skipped)."""
-    r = weekly_closes(prices).withColumn("r", log_return(F.col("close_price"), ["ticker"], ["week"]))
-    return r.groupBy("ticker").agg((F.stddev_samp("r") * F.sqrt(F.lit(float(WEEKS)))).alias("weekly_volatility"), F.count("r").alias("n_weekly_returns")).where("weekly_volatility is not null")
+    return weekly_stats(prices).select("ticker", "weekly_volatility", "n_weekly_returns").where("weekly_volatility is not null")
 
 
 def weekly_drawdown(prices: DataFrame) -> DataFrame:
-    """The largest fall of weekly closes below their running maximum, zero or negative."""
-    w = weekly_closes(prices).withColumn("dd", ratio("close_price", running_max("close_price", ["ticker"], ["week"])) - 1)
-    return w.groupBy("ticker").agg(F.min("dd").alias("max_drawdown"))
+    return weekly_stats(prices).select("ticker", "max_drawdown")
 
 
 def drawdown_screen(prices: DataFrame, min_drawdown: float = -0.15, min_average_yearly_return: float = 0.03, min_trading_days_per_year: int = 200, min_years: int = 5, seq: str | None = None) -> DataFrame:
@@ -81,7 +87,7 @@ def drawdown_screen(prices: DataFrame, min_drawdown: float = -0.15, min_average_
     if min_years < 1 or min_drawdown > 0:
         raise ValueError("min_years must be 1 at least and min_drawdown zero at most")
     p = clean_prices(prices, seq)
-    s = yearly_summary(yearly_returns(p, min_trading_days_per_year)).join(weekly_drawdown(p), "ticker").join(weekly_volatility(p), "ticker")
+    s = yearly_summary(yearly_returns(p, min_trading_days_per_year)).join(weekly_stats(p).where("weekly_volatility is not null"), "ticker")
     s = s.where((F.col("n_years") >= min_years) & (F.col("max_drawdown") >= min_drawdown) & (F.col("avg_yearly_return") >= min_average_yearly_return))
     # The passing list is a report of at most one row per ticker of the universe.
     return s.withColumn("rank", F.row_number().over(W.orderBy("weekly_volatility", F.desc("avg_yearly_return"), "ticker")))
