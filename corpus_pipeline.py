@@ -32,8 +32,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources' words meet their targets."""
-    mixed = mixing.mix(docs.withColumn("size", mixing.word_count()), F.array("source"))
-    return mixed.withColumn("copy", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    safe = [f"c{i}" for i in range(len(names))]  # docs may have columns of any name
+    at = dict(zip(names, safe, strict=True))
+    sized = docs.toDF(*safe).withColumn("size", mixing.word_count(at["text"]))
+    mixed = mixing.mix(sized, F.array(at["source"]), key=(at["doc_id"],)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*safe).toDF(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

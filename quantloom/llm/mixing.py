@@ -155,14 +155,14 @@ def nearer(sizes: list[int], counts: list[int], take: list[int], carry: float) -
     return take
 
 
-def mix(docs: DataFrame, members, quotas=capped_targets, seed: int = SEED, repeats: int = MAX_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, members, quotas=capped_targets, seed: int = SEED, repeats: int = MAX_REPEATS, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs (with a long `size`) plus source_size, target, copies and taken (words the mix takes, repeats counted).
 
     members: a Column, the array of a row's sources (it may hold null, a source of its
     own; an empty or null array belongs to none and is never taken). quotas: {source:
     tokens}, or a function that makes it from {source: size}. source_size and target are
     those of the row's first source (code point order, null last), or null.
-    Equal rows are interchangeable. An empty table mixes to nothing. Rows of size 0 count
+    key: the columns whose seeded hash orders documents. Equal rows are interchangeable. An empty table mixes to nothing. Rows of size 0 count
     as taken 0 times. Only one row per membership pattern goes to the driver, and
     more than MAX_PATTERNS patterns are an error. Columns source_size, target, copies and
     taken are replaced; others pass through.
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, members, quotas=capped_targets, seed: int = SEED, repea
     plan = spark.createDataFrame(rows, "_members array<string>, _p int, _full long, _rest long, _all long, source_size long, target double")
     # One row per pattern, at most MAX_PATTERNS of them: a proven bound for the broadcast.
     docs = docs.join(F.broadcast(plan.select("_members", "_p", "_full", "source_size", "target")), "_members").drop("_members")
-    docs = docs.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in (["doc_id"] if "doc_id" in cols else cols)])).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
+    docs = docs.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
     cell = ["_p", "size", "_b"]
     hist = written(docs.groupBy(*cell).count(), "mixing-cells")
     share = {r[1]: (r[3], r[4]) for r in rows}

@@ -52,11 +52,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """The columns `keep` of docs, plus fp (the fingerprint as a signed long)."""
-    cols = list(dict.fromkeys([*keep, "text"]))
+    cols = list(dict.fromkeys([*keep, text_column]))
     docs = docs.select(*[F.col(f"`{c}`") for c in cols])
-    text, n = cols.index("text"), len(keep)
+    text, n = cols.index(text_column), len(keep)
     schema = T.StructType([*docs.schema.fields[:n], T.StructField("fp", T.LongType())])
 
     def run(batches):
@@ -211,14 +211,16 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id (nulls last, then as stored); docs' own columns."""
-    cols = docs.columns
-    marked = written(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), [*cols, "_row"]), "simhash")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))
+    """One row of each component, that of the smallest doc_id (nulls last, then as stored); docs' own columns, whatever their names."""
+    names = docs.columns
+    safe = [f"_c{i}" for i in range(len(names))]
+    doc_id, text = safe[names.index("doc_id")], safe[names.index("text")]
+    marked = written(fingerprints(docs.toDF(*safe).withColumn("_row", F.monotonically_increasing_id()), [*safe, "_row"], text), "simhash")
+    first = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col("_row"))
     narrow = marked.select("fp", first.alias("first"))
     distinct = written(narrow.groupBy("fp").agg(F.min("first").alias("first")), "simhash-fp")
     named = rooted(distinct)
     least = named.groupBy("root").agg(F.min("first").alias("kept"))
     named = named.join(least, "root").select("fp", "kept")
     gone = narrow.join(named, "fp").where("first <> kept").select(F.col("first._row").alias("_row"))
-    return marked.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    return marked.join(gone, "_row", "left_anti").select(*safe).toDF(*names)

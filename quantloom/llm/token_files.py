@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
     """Encode, append `end_id` to each document and write ids in ascending doc_id order.
 
     Returns the table of files: part (ordinal of the range partition), seq (file within
-    it), n_ids, doc_ids, lengths (ids of each document, end id included) and image.
+    it), before (ids of the partition's earlier files), n_ids, doc_ids, lengths (ids of each document, end id included) and image.
     Rows order by doc_id, nulls last, then text, so equal rows are interchangeable; a
     document's ids may cross into the next file. An empty table writes no file.
     """
@@ -137,11 +137,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
         encode = library_encoder(vocabulary, spec.value)
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        buf, ids, lens, held = [], [], [], 0
+        buf, ids, lens, held, before = [], [], [], 0, 0
 
         def flush():
             image = pack(np.frombuffer(b"".join(buf), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([image], pa.binary())], names=["part", "seq", "n_ids", "doc_ids", "lengths", "image"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([image], pa.binary())], names=["part", "seq", "before", "n_ids", "doc_ids", "lengths", "image"])
 
         for batch in batches:
             for piece in text_slices(batch, 1, 1 << 18):  # small pieces: a chunk is new once
@@ -153,22 +153,23 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
                     held += len(raw) // 4
                     if held >= FILE_IDS:
                         yield flush()
-                        seq += 1
+                        seq, before = seq + 1, before + held
                         buf, ids, lens, held = [], [], [], 0
         if ids:
             yield flush()
 
-    return written(dealt.mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, image binary"), "token-files")
+    return written(dealt.mapInArrow(run, "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the file images alone plus each file's document lengths.
 
-    Only one number per partition and file (its ids) goes to the driver for the offsets.
+    For the offsets one number per partition goes to the driver and back: as many as the
+    writing job had partitions.
     """
     total, base = 0, {}
-    for r in files.groupBy("part", "seq").agg(F.sum("n_ids").alias("n")).orderBy("part", "seq").toLocalIterator():
-        base[r["part"], r["seq"]] = total
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        base[r["part"]] = total
         total += r["n"]
     starts = files.sparkSession.sparkContext.broadcast(base)
 
@@ -180,16 +181,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                part, seq, _, ids, lens, image = (c[i].as_py() for c in batch.columns)
+                part, before, ids, lens, image = (c[i].as_py() for c in batch.columns)
                 raw = unpack(image).tobytes()
                 ends = np.cumsum(lens)
                 if ends[-1] * 4 != len(raw):
                     raise ValueError("a bit-plane file and its document lengths disagree")
                 begins = ends - lens
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins + starts.value[part, seq], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins + before + starts.value[part], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "seq", "n_ids", "doc_ids", "lengths", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "doc_ids", "lengths", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_files(files: DataFrame, folder: str) -> int:
