@@ -86,5 +86,41 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe, op3_repeated_substrings, op4_pii, op5_simhash, op6_embedding_duplicates, op7_token_files, op8_nearest, op9_chat, op10_toxicity, pipeline)}
 
-#: Base columns in SQL are not the whole of any of these results, so none has an oracle; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+def chat_sql() -> str:
+    """op9 in SQL: the digests over the turns, lengths from the template's marks and escapes, the role order as a pattern."""
+
+    def escaped(x: str) -> str:
+        for mark in ("\\", *chat.controls()):
+            x = f"replace({x}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+        return x
+
+    sizes = " ".join(f"when '{role}' then {len(a) + len(b)}" for role, (a, b, _) in chat.TEMPLATE.items())
+    other = f"{sum(map(len, chat.ROLE))} + length({escaped('role')})"
+    loss = "role in (" + ", ".join(f"'{role}'" for role, mark in chat.TEMPLATE.items() if mark[2]) + ")"
+    order = "order by turn nulls first, r nulls first, t nulls first"
+    return f"""
+with turns as (
+    select conv_id, turn, role r, text t, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, i, r, x, r, x from (values (0, 'user'), (1, 'assistant')) a(i, r), (select '</s>[INST] ok [/INST]' x) b)
+select conv_id, count(*) n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) turns_sha256,
+    cast(coalesce(sum(length(text)) filter ({loss}), 0) as bigint) loss_chars,
+    sha256(coalesce(string_agg(text, '' {order}) filter ({loss}), '')) loss_sha256,
+    cast(sum(length({escaped('text')}) + case role {sizes} else {other} end) as bigint) formatted_chars,
+    regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' {order}), 's?(ua)*u?') valid
+from turns group by conv_id"""
+
+
+#: All pairs, so links that the passes of op6 may miss count too; of the order of n * n, for small tables.
+EMBEDDING_SQL = f"""
+with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings),
+ok as (select * from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id u, b.vec_id v from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {embeddings.THRESHOLD}),
+reach as (select vec_id u, vec_id m from ok union select l.v, r.m from reach r join links l on l.u = r.u where r.m < l.v),
+least as (select u, min(m) m from reach group by u), degree as (select u, count(*) n from links group by u)
+select vec_id, coalesce(n, 0) n_links, coalesce(m, vec_id) component_id, coalesce(m, vec_id) = vec_id kept
+from v left join least on least.u = vec_id left join degree on degree.u = vec_id"""
+
+#: The other results hold tokens, XXH64 values, byte windows of whole texts, a rounded flow, a recall below 1 or model output; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op6_embedding_duplicates": EMBEDDING_SQL, "op9_chat": chat_sql()}
