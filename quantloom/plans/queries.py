@@ -654,7 +654,7 @@ def _(spark, sf):
 
 
 @add("o5_o14_allocations", "strategy s, n i, total n, feasible i", [], """
-select unnest(['equal_weight', 'min_variance', 'max_sharpe', 'risk_parity', 'max_diversification', 'min_cvar', 'hrp', 'shrinkage_sharpe']) strategy, (select count(distinct o_orderpriority) from orders) n, 1.0 total, 1 feasible""")
+select unnest(['equal_weight', 'min_variance', 'max_sharpe', 'risk_parity', 'max_diversification', 'min_cvar', 'hrp', 'shrinkage_sharpe', 'black_litterman', 'bl_momentum', 'kelly_half', 'robust_mv']) strategy, (select count(distinct o_orderpriority) from orders) n, 1.0 total, 1 feasible""")
 def _(spark, sf):
     w = _allocations(spark, sf)
     return w.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min(F.col("weight").between(0.05 - 1e-9, 0.5 + 1e-9).cast("int")).alias("feasible"))

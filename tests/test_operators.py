@@ -361,3 +361,53 @@ def test_empty_tables(spark):
     assert screen.drawdown_screen(p).count() == 0 and panel.return_panel(p).count() == 0
     b = bars(spark, [])
     assert sessions.primitives(sessions.classify(b)).count() == 0 and features.resample(b, 5).count() == 0
+
+
+def test_black_litterman():
+    r = np.random.default_rng(4)
+    x = r.normal(0.0004, 0.01, (500, 4)) * np.array([1, 1.5, 0.7, 2])
+    cov = np.cov(x.T)
+    market = np.array([0.4, 0.3, 0.2, 0.1])
+    assert allocation.black_litterman(cov, market) == pytest.approx(market, abs=1e-4)  # no views: the market itself
+    implied = allocation.AVERSION * cov * 252 @ market
+    # Views that agree leave the means, but the combined covariance is no longer a multiple of the market's.
+    assert allocation.black_litterman(cov, market, (np.eye(4), implied)) == pytest.approx(market, abs=5e-3)
+    up = allocation.black_litterman(cov, market, (np.eye(4)[:1], implied[:1] + 0.05))
+    assert up[0] > 0.41
+    # The update against its form with inverses.
+    prior, p = 0.05 * cov * 252, np.eye(4)
+    unsure, q = np.diag(np.diag(prior)), implied + [0.02, -0.01, 0.0, 0.03]
+    left = np.linalg.inv(np.linalg.inv(prior) + p.T @ np.linalg.inv(unsure) @ p)
+    mean = left @ (np.linalg.inv(prior) @ implied + p.T @ np.linalg.inv(unsure) @ q)
+    assert allocation.black_litterman(cov, market, (p, q)) == pytest.approx(allocation._ratio(mean, cov * 252 + left, 0, 1), abs=1e-3)
+    picks, q = allocation.momentum_views(x, 100)
+    assert q == pytest.approx(x[-100:].mean(axis=0) * 252 - 0.05)
+
+
+def test_kelly_and_robust_on_a_grid():
+    r = np.random.default_rng(6)
+    x = r.normal([0.0006, 0.0003, 0.0001], [0.02, 0.01, 0.004], (750, 3))
+    mean, cov = x.mean(axis=0), np.cov(x.T)
+    grid = np.array([(a, b, 200 - a - b) for a in range(201) for b in range(201 - a)]) / 200
+    m, var = grid @ mean * 252, np.einsum("ij,jk,ik->i", grid, cov, grid) * 252
+
+    def near(w, value):
+        return np.abs(w - grid[value.argmax()]).max() < 0.011
+
+    assert near(allocation.fractional_kelly(mean, cov), 0.5 * m - 0.125 * var)
+    assert near(allocation.fractional_kelly(mean, cov, fraction=3.0), 3 * m - 4.5 * var)
+    assert [allocation.chi_square_quantile(0.95, n) for n in (1, 2, 3, 8)] == pytest.approx([3.841, 5.991, 7.815, 15.507], abs=1e-3)
+    # The worst mean of the ellipsoid lies sqrt(quantile * w' C w) below, C the covariance of the yearly means.
+    worst = np.sqrt(allocation.chi_square_quantile(0.95, 3) * var * 252 / 750)
+    assert near(allocation.robust_mean_variance(mean, cov, 750), m - worst - 1.25 * var)
+    assert allocation.robust_mean_variance(mean, cov, 750).sum() == pytest.approx(1)
+
+
+def test_singular_covariance_keeps_bounds():
+    x = np.random.default_rng(1).normal(0, 0.01, (60, 2))
+    x = np.c_[x, x[:, 0], np.zeros(60)]
+    cov, mean = np.cov(x.T), x.mean(axis=0)
+    for name in ("black_litterman", "bl_momentum", "kelly_half", "robust_mv"):
+        w = allocation.STRATEGIES[name](mean, cov, x, None, 0.05, 0.5)
+        assert np.isfinite(w).all() and w.sum() == pytest.approx(1), name
+        assert w.min() >= 0.05 - 1e-9 and w.max() <= 0.5 + 1e-9, name
