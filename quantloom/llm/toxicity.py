@@ -262,6 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
 
     Without a label of either class the built-in words and a default curve serve. Labels
     that are null, repeated or contradictory: the largest of a doc_id's counts.
+    Where documents repeat a picked doc_id, at most 4 * rows rows in all are learned from,
+    and which of the repeats these are is not fixed.
     """
     import numpy as np
 
