@@ -13,7 +13,8 @@ one anchor form a segment; equal segments of a group are one class with a count.
   sample it shrinks by one per byte. Starts with a match of LENGTH or more are marked.
 - A group of more than MANY classes would put one hot passage into one task. Its strings
   are told apart by halving: intervals of starts that share ever longer cores, dealt by the
-  core's hash, until an interval is equal as a whole or alone. This is exact as well.
+  core's hash, until an interval is alone or all that share its core are marked. Intervals
+  equal as a whole are marked, and one of them goes on as a partner. This is exact as well.
 """
 
 from __future__ import annotations
@@ -272,18 +273,19 @@ def _halved(texts: DataFrame, length: int, gram: int) -> DataFrame:
     size = 1
     while size < length - gram + 1:
         size *= 2
-    live = texts.select("h", "g", "off", "seg", (F.col("off") - F.col("n") + 1).alias("l1"), F.col("off").alias("l2"), F.lit(0).alias("l0"))
+    live = texts.select("h", "g", "off", "seg", (F.col("off") - F.col("n") + 1).alias("l1"), F.col("off").alias("l2"), F.lit(0).alias("l0"), F.lit(False).alias("marked"))
     marks = None
     while size >= 1:
         if size <= length - gram:  # else the core is shorter than the anchor itself
             live = live.withColumn("core", F.xxhash64("h", "l0", F.expr(f"substring(seg, off - l0 + 1, {length} - {size} + 1)")))
             live = live.withColumn("whole", F.sha2(F.concat(F.encode(F.concat_ws(",", "h", "l1", "l2"), "UTF-8"), F.expr(f"substring(seg, off - l2 + 1, l2 - l1 + {length})")), 256))
-            cores = live.groupBy("core").count().where("count > 1").select("core")
-            wholes = live.groupBy("whole").agg(F.count("*").alias("same")).where("same > 1")
+            cores = live.groupBy("core").agg(F.count("*").alias("n"), F.min("marked").alias("over")).where("n > 1 and not over").select("core")
+            wholes = live.groupBy("whole").agg(F.count("*").alias("same"), F.min("g").alias("first")).where("same > 1").drop("same")
             live = written(live.join(cores, "core", "left_semi").join(wholes, "whole", "left"), "substring-halves")
-            done = live.where("same is not null").select("h", "g", (F.col("off") - F.col("l2")).alias("a"), (F.col("off") - F.col("l1")).alias("b"))
+            done = live.where("first is not null and not marked").select("h", "g", (F.col("off") - F.col("l2")).alias("a"), (F.col("off") - F.col("l1")).alias("b"))
             marks = done if marks is None else marks.unionByName(done)
-            live = live.where("same is null").drop("core", "whole", "same")
+            # One of the equal intervals goes on as a partner for intervals that cover a part of its starts.
+            live = live.where("first is null or first = g").withColumn("marked", F.col("marked") | F.col("first").isNotNull()).drop("core", "whole", "first")
             if size == 1 or live.isEmpty():
                 break
         half = size // 2

@@ -148,6 +148,20 @@ def test_repeats_small_alphabet(spark, many):
     assert got == dict(enumerate(want))
 
 
+def test_repeats_hot_near_copies(spark):
+    """Copies of one passage with an edit each, or cut at random: their hot groups go by halving."""
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefgh") for _ in range(120))
+    texts = [base] * 2
+    for _ in range(40):
+        i, a = r.randrange(len(base)), r.randrange(60)
+        texts.append(base[:i] + r.choice("xyz") + base[i + 1 :])
+        texts.append(f"{r.random()} {base[a : a + r.randint(20, 60)]} {r.random()}")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: tuple(x)[1:] for x in substrings.remove_repeats(d, length=20, gram=6, many=1).collect()}
+    assert got == dict(enumerate(brute.removed([t.encode() for t in texts], 20)))
+
+
 def test_repeats_documents(spark, docs, rows):
     rows = sorted(rows, key=lambda r: r.doc_id)
     got = {x.doc_id: tuple(x)[1:] for x in substrings.remove_repeats(docs).collect()}
