@@ -1,10 +1,11 @@
-"""Operator 6: embedding near-duplicates by sorted projection passes.
-
-Equal vectors are one node. Each pass orders the nodes by a random hash (concatenated
-signs of random projections, most significant first), compares every node with the next
-WINDOW in that order by exact cosine and reports a spanning forest of the verified pairs;
-the union over passes gives components. Links are then counted exactly inside each
-component, tile by tile, so the window is no cap on a vector's partners.
+"""Operator 6: embedding near-duplicates by exact comparison, tile by tile.
+
+Equal vectors are one node. The nodes of one length are dealt to tiles; every tile meets
+every tile, its own included, by matrix products in blocks, so each pair of vectors is
+compared once, whatever their number or density. A meeting reports the links of its nodes
+as counts and as a spanning forest; the union of the forests gives the components.
+Tiles grow with the table, so that a vector is dealt SIDES times as long as a tile holds
+LARGE vectors at most; the products are quadratic, as the exact comparison asks for.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from .common import partitions, written
 from .components import connected_components
 
 THRESHOLD = 0.95
-PASSES = 16
-BITS = 40
-WINDOW = 24
-TILE = 1024
-SEED = 5
+TILE = 512  # the smallest tile
+SIDES = 16
+LARGE = 1 << 16
+BLOCK = 1024  # rows of one side of a matrix product
 
 
 def valid(vector: str = "embedding"):
@@ -41,135 +41,100 @@ def unit(batch_column):
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def runs(column):
-    """Bounds of the runs of equal values."""
-    import numpy as np
-
-    a = column.to_numpy(zero_copy_only=False)
-    return np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)].tolist() if len(a) else [0]
-
-
-def pass_links(nodes: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
-    """Edges (u, v) of verified pairs; nodes: node long, dim int, embedding."""
-    n = partitions(nodes.sparkSession)
-
-    def keys(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            dims = batch.column(1).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                x = unit(part.column(2))
-                for p in range(passes):
-                    planes = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
-                    bits = (x @ planes > 0).astype(np.int64)
-                    key = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    group = np.full(len(key), p * 100_000 + dim, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(key), *part.columns], names=["grp", "key", "node", "dim", "embedding"])
-
-    keyed = nodes.select("node", "dim", "embedding").mapInArrow(keys, "grp long, key long, node long, dim int, embedding array<double>")
-    dealt = keyed.repartitionByRange(n, "grp", "key", "node").sortWithinPartitions("grp", "key", "node")
-
-    def compare(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        tail = None  # the last rows of the batch before, of the same group
-        for batch in batches:
-            grp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            b = runs(batch.column(0))
-            us, vs = [], []
-            for lo, hi in zip(b, b[1:]):  # noqa: B905
-                ids, x = node[lo:hi], unit(batch.column(4).slice(lo, hi - lo))
-                if tail is not None and tail[0] == grp[lo]:
-                    ids, x = np.concatenate([tail[1], ids]), np.vstack([tail[2], x])
-                for d in range(1, min(window, len(ids) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold)
-                    us.append(ids[hit])
-                    vs.append(ids[hit + d])
-                tail = grp[lo], ids[-window:], x[-window:]
-            if us and sum(map(len, us)):
-                # A node keeps its link to the smallest partner here: components stay, pairs don't multiply.
-                u, v = forest(np.concatenate(us), np.concatenate(vs))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return dealt.mapInArrow(compare, "u long, v long")
-
-
-def forest(u, v):
-    """A spanning forest of the links u-v (node ids)."""
+def joined(label, a, b):
+    """Labels (the least member of each set) after the sets of a[i] and b[i] are united; and the positions a, b that did it."""
     import numpy as np
 
-    ids, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b, label = inv[: len(u)], inv[len(u) :], np.arange(len(ids))
+    us, vs = [], []
     while True:
-        low, new = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
+        x, y = label[a], label[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
             break
-        label = new
-    child = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[child], ids[label[child]]
-
-
-def degrees(members: DataFrame, threshold: float) -> DataFrame:
-    """node, links: the copies of other nodes of its component within the threshold; members: node, root, copies, embedding."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    dealt = members.join(sizes, "root").withColumn("cuts", F.ceil(F.col("m") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
-    # A tile meets every tile of its component, each meeting in a task of its own; the row is side 1 or, for its own tile, side 0.
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        root, at = np.unique(high, return_index=True)  # each set hooks to one lower set at a time
+        us.append(a[at])
+        vs.append(b[at])
+        to = np.arange(len(label))
+        to[root] = low[at]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+    return label, us, vs
+
+
+def links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, links): v null and the copies of other nodes within the threshold of u; or links null and an edge u-v.
+
+    nodes: node long, dim int, copies long, embedding. The edges connect exactly what the
+    links connect, their number is linear in the nodes of each meeting of two tiles.
+    """
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("m"))
+    cuts = F.greatest(F.least(F.ceil(F.col("m") / TILE), F.lit(SIDES)), F.ceil(F.col("m") / LARGE)).cast("int")
+    dealt = nodes.join(sizes, "dim").withColumn("cuts", cuts).withColumn("t", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    # A tile meets every tile, each meeting in a task of its own; the row is side 1 or 2 or, for its own tile, side 0.
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("side", F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2))
-    dealt = dealt.select(F.xxhash64("root", F.least("t", "o"), F.greatest("t", "o")).alias("k"), "side", "node", "copies", "embedding")
-    dealt = dealt.repartition(partitions(members.sparkSession), "k").sortWithinPartitions("k")
+    dealt = dealt.select("dim", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "side", "node", "copies", "embedding")
+    key = ["dim", "lo", "hi"]
+    dealt = dealt.repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "side")
 
-    def count(batches):
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        def solve(k, side, node, copies, x):
-            out, b = np.zeros(len(node), np.int64), np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
-            for lo, hi in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
-                s, y, c = side[lo:hi], x[lo:hi], copies[lo:hi]
-                if not s[0] and not s.any():
-                    near = y @ y.T >= threshold
-                    np.fill_diagonal(near, False)
-                    out[lo:hi] = near @ c
-                else:
-                    one, two = np.flatnonzero(s == 1), np.flatnonzero(s == 2)
-                    near = y[one] @ y[two].T >= threshold
-                    out[lo + one], out[lo + two] = near @ c[two], c[one] @ near
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], names=["node", "links"])
-
-        held = None
+        def solve(side, node, copies, x):
+            n, cut = len(node), int(np.searchsorted(side, 2))
+            own = side[0] == 0
+            count, label, us, vs = np.zeros(n, np.int64), np.arange(n), [], []
+            if not own and (side[0] == 2 or cut == n):
+                return None
+            for a in range(0, n if own else cut, BLOCK):
+                b = min(a + BLOCK, n if own else cut)
+                for c in range(a if own else cut, n, BLOCK):
+                    d = min(c + BLOCK, n)
+                    near = x[a:b] @ x[c:d].T >= threshold
+                    if own and a == c:
+                        near = np.triu(near, 1)
+                    i, j = np.nonzero(near)
+                    if not len(i):
+                        continue
+                    i, j = i + a, j + c
+                    np.add.at(count, i, copies[j])
+                    np.add.at(count, j, copies[i])
+                    label, u, v = joined(label, i, j)
+                    us += u
+                    vs += v
+            hit = np.flatnonzero(count)
+            if not len(hit):
+                return None
+            u, v = node[np.concatenate(us)], node[np.concatenate(vs)]
+            none = np.zeros(len(hit), np.int64)
+            mask = np.r_[np.ones(len(hit), bool), np.zeros(len(u), bool)]
+            cols = [pa.array(np.r_[node[hit], u]), pa.array(np.r_[none, v], mask=mask), pa.array(np.r_[count[hit], np.zeros(len(u), np.int64)], mask=~mask)]
+            return pa.RecordBatch.from_arrays(cols, names=["u", "v", "links"])
+
+        held, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            # Components hold vectors of one length; a batch may hold several lengths.
-            dims = [len(v) for v in batch.column(4)]
-            x = np.zeros((len(dims), max(dims)))
-            for d in set(dims):
-                at = np.flatnonzero(np.array(dims) == d)
-                x[at, :d] = unit(batch.column(4).take(pa.array(at)))
-            if held is not None:
-                wide = max(held[4].shape[1], x.shape[1])
-                x = np.vstack([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (held[4], x)])
-                new = [np.concatenate(p) for p in zip(held[:4], new, strict=True)]
-            cut = int(np.searchsorted(new[0], new[0][-1]))
-            if cut:
-                yield solve(*(a[:cut] for a in new), x[:cut])
-            held = [*(a[cut:] for a in new), x[cut:]]
-        if held is not None:
-            yield solve(*held)
-
-    parts = dealt.select("k", "side", "node", "copies", "embedding").mapInArrow(count, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            edge = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows].tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                k, part = tuple(keys[:, a].tolist()), batch.slice(a, b - a)
+                if held is not None and k != held:
+                    if (got := solve(*(np.concatenate(p) for p in zip(*parts, strict=True)))) is not None:
+                        yield got
+                    parts = []
+                held = k
+                parts.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)), unit(part.column(6))))
+        if parts and (got := solve(*(np.concatenate(p) for p in zip(*parts, strict=True)))) is not None:
+            yield got
+
+    return dealt.mapInArrow(compare, "u long, v long, links long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors` (vec_id, embedding).
 
     Vectors that are null, zero or hold null or non-finite components link with nothing and
@@ -183,9 +148,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     # One node per distinct vector; -0.0 and 0.0 are one value for grouping.
     nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "embedding", "least_id", "copies"), "vectors")
-    roots = connected_components(written(pass_links(nodes, passes, window, threshold, seed).distinct(), "vector-links"))
-    members = written(nodes.join(roots, "node").select("node", "root", "copies", "least_id", "embedding"), "vector-members")
-    counted = degrees(members, threshold)
+    found = written(links(nodes, threshold), "vector-links")
+    roots = connected_components(found.where("v is not null").select("u", "v").distinct())
+    counted = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    members = written(nodes.join(roots, "node").select("node", "root", "least_id"), "vector-members")
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     facts = members.select("node", "root").join(counted, "node").join(least, "root").select("node", "links", "component_id")
     facts = nodes.join(facts, "node", "left").select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))

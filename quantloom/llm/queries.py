@@ -112,7 +112,7 @@ select conv_id, count(*) n_turns,
 from turns group by conv_id"""
 
 
-#: All pairs, so links that the passes of op6 may miss count too; of the order of n * n, for small tables.
+#: All pairs, of the order of n * n, for small tables.
 EMBEDDING_SQL = f"""
 with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings),
 ok as (select * from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),

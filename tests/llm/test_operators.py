@@ -322,6 +322,20 @@ def test_embedding_duplicates(spark, monkeypatch, tile):
     assert embeddings.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_embedding_dense_group(spark):
+    """A dense group of which most pairs are just below the threshold: no link is lost among such neighbours."""
+    r = np.random.default_rng(8)
+    centre = r.standard_normal(64)
+    x = centre / np.linalg.norm(centre) + r.standard_normal((3000, 64)) / 8 / 3  # mean cosine about 0.9
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:300] + 0.2 / 8 * r.standard_normal((300, 64))
+    x = np.vstack([x, y / np.linalg.norm(y, axis=1, keepdims=True)])
+    near = x @ x.T >= 0.95
+    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    comp = brute.components(len(x), np.argwhere(np.triu(near, 1)).tolist())
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(k) - 1, comp[i]) for i, k in enumerate(near.sum(axis=1))}
+
+
 def test_nearest(spark):
     rows = vectors(3, 900)
     index = ann.build(spark.createDataFrame([(*r, "c") for r in rows], KIND))
