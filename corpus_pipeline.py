@@ -36,7 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe = [f"c{i}" for i in range(len(names))]  # docs may have columns of any name
     at = dict(zip(names, safe, strict=True))
     sized = docs.toDF(*safe).withColumn("size", mixing.word_count(at["text"]))
-    mixed = mixing.mix(sized, F.array(at["source"]), key=(at["doc_id"],)).where("copies > 0")
+    mixed = mixing.mix(sized, F.array(at["source"]), key=(at["doc_id"],))
+    # A document without a word costs no quota: it stays once.
+    mixed = mixed.withColumn("copies", F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("copies"))).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*safe).toDF(*names)
 
 

@@ -60,6 +60,12 @@ def test_mixing_stage(stages):
     assert max(after.values()) <= 3
 
 
+def test_mixing_keeps_documents_without_words(spark):
+    rows = [(1, None, None, "a", None), (2, "", None, None, None), (3, " \n", None, "b", None), (4, "one two", None, "a", None)]
+    got = Counter(r.doc_id for r in cp.mix_sources(spark, spark.createDataFrame(rows, DOCS), SF).collect())
+    assert [got[i] for i in (1, 2, 3)] == [1, 1, 1]
+
+
 def test_bpe_stage_and_run(spark, stages):
     t = library()
     want = Counter((r.doc_id, len(ids := t.encode(r.text, add_special_tokens=False).ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(t.decode(ids, skip_special_tokens=False))) for r in stages[4].collect())
