@@ -47,6 +47,34 @@ def _(spark, sf):
     return views.daily_prices(spark, sf).where(F.col("ticker").isin("1", "2", "3") & F.col("date").between("1996-01-01", "1996-12-31"))
 
 
+# The same scans over all symbols and dates of the tables.
+
+EVER = ("1900-01-01", "2199-12-31")
+
+
+def symbols(bars):
+    return sorted(r.symbol for r in bars.where("symbol is not null").select("symbol").distinct().collect())
+
+
+@add("s2_minute_scan_all", "symbol s, timestamp t, close n, volume n, trades_count n", ["minute_bars"], "select *, null::double trades_count from minute_bars where symbol is not null")
+def _(spark, sf):
+    bars = views.minute_bars(spark, sf)
+    return readers.minute_bars(bars, symbols(bars), *EVER)
+
+
+@add("s4_s5_load_source_all", "symbol s, source_name s, source_kind s, source_symbol_count i, n_rows i, n_open i, n_call i", ["minute_bars"], """
+select symbol, 'bars' source_name, 'minute_bars' source_kind, (select count(distinct symbol) from minute_bars)::int source_symbol_count, count(*) n_rows, count(open) n_open, 0 n_call from minute_bars where symbol is not null group by 1""")
+def _(spark, sf):
+    bars = views.minute_bars(spark, sf)
+    out = readers.load_source(spark, readers.SourceSpec("bars", "minute", tuple(symbols(bars))), {"minute": bars}, *EVER)
+    return out.groupBy("symbol", "source_name", "source_kind", "source_symbol_count").agg(F.count("*").alias("n_rows"), F.count("open").alias("n_open"), F.count("call_volume").alias("n_call"))
+
+
+@add("s6_price_scan_all", "ticker s, date d, close_price n", ["daily_prices"], "select * from daily_prices")
+def _(spark, sf):
+    return views.daily_prices(spark, sf)
+
+
 @add("s10_verification", "n_rows i, n_tickers i, first_date d, last_date d", ["daily_prices"], "select count(*) n_rows, count(distinct ticker) n_tickers, min(date) first_date, max(date) last_date from daily_prices")
 def _(spark, sf):
     return sinks.verification(views.daily_prices(spark, sf))
