@@ -429,9 +429,32 @@ def test_toxicity(spark, docs, rows):
 
 
 def test_toxicity_held_out(spark):
-    """Accuracy on the fold that is never learned from, over the larger table."""
+    """Precision and recall on the fold that is never learned from, over the larger table, per language.
+
+    Some toxic rows hold no word that sets them apart (repeated syllables and tables
+    without an insult): their labels are noise that no rule can find, at most 7 % here.
+    """
     path = "/root/testdata/sf0.1"
     got = queries.op10_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
-    en = got[got.lang == "en"]
-    assert (en.predicted == en.toxic).mean() > 0.93
-
+    for lang, g in [(None, got), *got.groupby("lang")]:
+        found = ((g.predicted == 1) & (g.toxic == 1)).sum()
+        assert found >= (0.9 if lang in (None, "en", "es", "fr") else 0.85) * (g.toxic == 1).sum(), lang
+        assert found >= 0.94 * (g.predicted == 1).sum(), lang
+
+
+def test_toxicity_learns_weights():
+    """A stem in every form of a word, its weight by its odds, and copies of one document as no evidence."""
+    r = random.Random(5)
+    fill = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    toxic = [f"{fill()} schmurk{e} {fill()}" for e in ("el", "ig", "ing", "ung", "isch", "er") * 10] + ["nur einmal gesagt wurde xylofant"] * 50
+    clean = [fill() for _ in range(200)] + [f"{fill()} schmu"]
+    m = toxicity.learn_patterns(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    assert [s for s in m["stems"] if s.startswith("sch")] == ["schmurk"] and not [w for w in (*m["words"], *m["stems"]) if w.startswith("xyl")]
+    assert all(0 < w <= 1 for w in (*m["words"].values(), *m["stems"].values()))
+
+
+def test_toxicity_long_text(spark):
+    """A text of some MB is read whole: the insult stands at its end."""
+    d = spark.createDataFrame([(1, "word " * 400_000 + "you idiot moron"), (2, "word " * 400_000)], "doc_id long, text string")
+    got = {r.doc_id: r.clauses for r in toxicity.score(d, toxicity.fit(d.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).collect()}
+    assert got == {1: 1, 2: 0}

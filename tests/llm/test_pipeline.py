@@ -25,8 +25,8 @@ def stages(spark):
 
 def test_toxicity_stage(spark, stages):
     model = toxicity.fit(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
-    grammar, automaton = toxicity.Grammar(), toxicity.finder(model)
-    keep = {r.doc_id for r in stages[0].collect() if np.dot(toxicity.describe(toxicity.match(r.text, model, grammar, automaton)), model["curve"]) < 0}
+    grammar, automaton = toxicity.Grammar(model["factors"]), toxicity.finder(model)
+    keep = {r.doc_id for r in stages[0].collect() if np.dot(toxicity.describe(toxicity.match(r.text, model, grammar, automaton), len(r.text or "") // 6), model["curve"]) < 0}
     assert {r.doc_id for r in stages[1].collect()} == keep and stages[1].columns == stages[0].columns
 
 
