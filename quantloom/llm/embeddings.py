@@ -1,23 +1,41 @@
-"""Operator 6: embedding near-duplicates by exact comparison, tile by tile.
-
-Equal vectors are one node. The nodes of one length are dealt to tiles; every tile meets
-every tile, its own included, by matrix products in blocks, so each pair of vectors is
-compared once, whatever their number or density. A meeting reports the links of its nodes
-as counts and as a spanning forest; the union of the forests gives the components.
-Tiles grow with the table, so that a vector is dealt SIDES times as long as a tile holds
-LARGE vectors at most; the products are quadratic, as the exact comparison asks for.
+"""Operator 6: embedding near-duplicates by sorted projection passes.
+
+Equal vectors are one node. A pass gives each node a key, the concatenated signs of its
+projections on random planes, orders all nodes by it and compares each with the WINDOW
+nodes after it; close pairs are united across passes.
+
+How often a pair at the threshold shares its first bits is known, and so is how many nodes
+share them by chance. The prefix is chosen so long that a run of nodes with one prefix fits
+the window, the number of passes so large that a pair at the threshold shares a prefix at
+least once with probability RECALL. Both follow the number of vectors. A run longer than
+the window (a dense group) is united as a whole, so no density breaks that promise.
+
+What is united is only a group of candidates: inside each group all pairs are compared
+exactly, tile by tile, and only that comparison says what links. Small groups are cheap;
+a dense group costs the square of its size, which is the exact way for what the bounded
+windows can't hold. Ranks, not partitions, bound the windows, so the result does not
+depend on how the table is dealt.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, written
 from .components import connected_components
 
 THRESHOLD = 0.95
-TILE = 512  # the smallest tile
+WINDOW = 128
+RECALL = 0.995  # least probability that a pair at the threshold becomes a candidate
+SPARE = 4  # how many times the usual run fits the window
+MOST_BITS = 32  # longest prefix; denser runs than it can part are compared exactly
+KEY_BITS = 62
+PLAN_SAMPLE = 2048  # vectors that the plan is made from
+RANKS = 4096  # ranks of a block of the order
+SEED = 5
+TILE = 512  # the smallest tile of an exact comparison
 SIDES = 16
 LARGE = 1 << 16
 BLOCK = 1024  # rows of one side of a matrix product
@@ -64,19 +82,157 @@ def joined(label, a, b):
     return label, us, vs
 
 
+def plan(nodes: DataFrame, threshold: float, window: int, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, passes): prefix length and number of passes for these nodes.
+
+    The plan looks at PLAN_SAMPLE vectors: how many nodes share a prefix with the median one.
+    """
+    import math
+
+    import numpy as np
+
+    n = nodes.count()
+    rows = nodes.orderBy(F.xxhash64("embedding"), "embedding").limit(PLAN_SAMPLE).select("x").toArrow().column(0).to_pylist()
+    size = np.array([len(x) for x in rows])
+    agree = np.zeros((len(rows), len(rows)), np.float32)
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        x = np.frombuffer(b"".join(rows[i] for i in at), "<f4").reshape(len(at), -1)
+        agree[np.ix_(at, at)] = 1 - np.arccos(np.clip(x @ x.T, -1, 1)) / np.pi
+    np.fill_diagonal(agree, 0)
+    bits, shared = 0, (agree > 0).astype(np.float32)
+    while bits < MOST_BITS and len(rows) > 1 and np.median(shared.sum(axis=1)) * n / len(rows) > window / SPARE:
+        shared *= agree
+        bits += 1
+    found = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
+
+
+def scaled(nodes: DataFrame) -> DataFrame:
+    """nodes (node, dim, embedding, ...) plus x, the unit vector in single precision."""
+    names = nodes.columns
+    dim, at = names.index("dim"), names.index("embedding")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            size = batch.column(dim).to_numpy()
+            for d in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == d))
+                x = unit(part.column(at)).astype("<f4")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v.tobytes() for v in x], pa.binary())], names=[*names, "x"])
+
+    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("x", T.BinaryType())]))
+
+
+def ordered(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
+    """rank, dim, pass, run (the first `bits` of the key), node: the orders of all passes as one."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        planes: dict = {}
+        weights = np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            size = batch.column(1).to_numpy()
+            for d in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == d))
+                x = np.frombuffer(b"".join(part.column(2).to_pylist()), "<f4").reshape(-1, d)
+                if d not in planes:
+                    planes = {d: np.random.default_rng((SEED, d)).standard_normal((passes, KEY_BITS, d), np.float32)}
+                keys = np.stack([((x @ p.T) > 0).astype(np.int64) @ weights for p in planes[d]], axis=1).ravel()
+                each = pa.array(np.repeat(np.arange(len(x)), passes))
+                numbers = pa.array(np.tile(np.arange(passes, dtype=np.int32), len(x)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(each), part.column(1).take(each), numbers, pa.array(keys), part.column(3).take(each)], names=["node", "dim", "pass", "key", "h"])
+
+    keyed = nodes.select("node", "dim", "x", F.xxhash64("embedding").alias("h")).mapInArrow(run, "node long, dim int, pass int, key long, h long")
+    order = ["dim", "pass", "key", "h"]
+    rows = keyed.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "vector-order").withColumn("p", F.shiftright("id", 33))
+    # One number per partition goes to the driver and back.
+    at, starts = 0, []
+    for r in rows.groupBy("p").count().orderBy("p").collect():
+        starts.append((r["p"], at))
+        at += r["count"]
+    first = F.broadcast(nodes.sparkSession.createDataFrame(starts, "p long, first long"))
+    rank = F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(first, "p").select(rank.alias("rank"), "dim", "pass", F.shiftright("key", KEY_BITS - bits).alias("run"), "node")
+
+
+def candidates(nodes: DataFrame, threshold: float, window: int = WINDOW) -> DataFrame:
+    """Edges (u, v) whose components hold every pair found: close pairs inside the windows, and whole runs that no window holds.
+
+    nodes: node, dim, embedding, x. The edges are linear in the nodes of each pass.
+    """
+    rows = ordered(nodes, *plan(nodes, threshold, window))
+    runs = ["dim", "pass", "run"]
+    long = written(rows.groupBy(*runs).agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > window).drop("n"), "vector-runs")
+    whole = rows.join(long, runs).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    # A block also gets the last ranks of the block before it, so a window may cross its edge.
+    block = F.floor(F.col("rank") / RANKS)
+    into = F.when(F.col("rank") % RANKS >= RANKS - window, F.array(block, block + 1)).otherwise(F.array(block))
+    placed = rows.select(F.explode(into).alias("block"), "rank", "pass", "node").join(nodes.select("node", "dim", "x"), "node")
+    placed = placed.select("block", "dim", "pass", "rank", "node", "x").repartition(partitions(nodes.sparkSession), "block").sortWithinPartitions("block", "rank")
+    least = threshold - 1e-5  # single precision here; the exact comparison comes later
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def solve(parts):
+            """A stretch of one block, dim and pass."""
+            node = np.concatenate([p[0] for p in parts])
+            x = np.concatenate([p[1] for p in parts])
+            n, label, us, vs = len(node), np.arange(len(node)), [], []
+            for a in range(0, n, window):
+                b = min(a + window, n)
+                near = x[a:b] @ x[a : b + window].T >= least
+                i, j = np.nonzero(near)
+                ok = (j > i) & (j - i <= window)
+                label, u, v = joined(label, i[ok] + a, j[ok] + a)
+                us += u
+                vs += v
+            if not us:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(us)]), pa.array(node[np.concatenate(vs)])], names=["u", "v"])
+
+        held, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edge = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows].tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                k, part = tuple(keys[:, a].tolist()), batch.slice(a, b - a)
+                if held is not None and k != held:
+                    if (got := solve(parts)) is not None:
+                        yield got
+                    parts = []
+                held = k
+                parts.append((part.column(4).to_numpy(), np.frombuffer(b"".join(part.column(5).to_pylist()), "<f4").reshape(b - a, -1)))
+        if parts and (got := solve(parts)) is not None:
+            yield got
+
+    return whole.unionByName(placed.mapInArrow(compare, "u long, v long"))
+
+
 def links(nodes: DataFrame, threshold: float) -> DataFrame:
     """(u, v, links): v null and the copies of other nodes within the threshold of u; or links null and an edge u-v.
 
-    nodes: node long, dim int, copies long, embedding. The edges connect exactly what the
-    links connect, their number is linear in the nodes of each meeting of two tiles.
+    nodes: node long, root long, copies long, embedding; only nodes of one root meet (they
+    are of one length). The edges connect exactly what the links connect, their number is
+    linear in the nodes of each meeting of two tiles.
     """
-    sizes = nodes.groupBy("dim").agg(F.count("*").alias("m"))
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("m"))
     cuts = F.greatest(F.least(F.ceil(F.col("m") / TILE), F.lit(SIDES)), F.ceil(F.col("m") / LARGE)).cast("int")
-    dealt = nodes.join(sizes, "dim").withColumn("cuts", cuts).withColumn("t", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    dealt = nodes.join(sizes, "root").withColumn("cuts", cuts).withColumn("t", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
     # A tile meets every tile, each meeting in a task of its own; the row is side 1 or 2 or, for its own tile, side 0.
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("side", F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2))
-    dealt = dealt.select("dim", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "side", "node", "copies", "embedding")
-    key = ["dim", "lo", "hi"]
+    dealt = dealt.select("root", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "side", "node", "copies", "embedding")
+    key = ["root", "lo", "hi"]
     dealt = dealt.repartition(partitions(nodes.sparkSession), *key).sortWithinPartitions(*key, "side")
 
     def compare(batches):
@@ -134,21 +290,25 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "u long, v long, links long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors` (vec_id, embedding).
 
     Vectors that are null, zero or hold null or non-finite components link with nothing and
     are their own component. Vectors of different lengths never link. Rows with a null
     vec_id take part; a component of such rows only has a null component_id, and kept is
-    false for them. Repeated rows link with each other. Other columns are ignored.
+    false for them. Repeated rows link with each other. Other columns are ignored. A pair
+    at the threshold is found with probability RECALL at least, closer ones more surely;
+    what is counted is exact for all pairs of the groups that the passes have united.
     """
     base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     ok = F.coalesce(valid(), F.lit(False))
     good = base.where(ok)
     # One node per distinct vector; -0.0 and 0.0 are one value for grouping.
     nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "embedding", "least_id", "copies"), "vectors")
-    found = written(links(nodes, threshold), "vector-links")
+    nodes = written(scaled(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "embedding", "least_id", "copies")), "vectors")
+    groups = connected_components(written(candidates(nodes, threshold, window).distinct(), "vector-candidates"))
+    nodes = nodes.drop("x")
+    found = written(links(nodes.join(groups, "node"), threshold), "vector-links")
     roots = connected_components(found.where("v is not null").select("u", "v").distinct())
     counted = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     members = written(nodes.join(roots, "node").select("node", "root", "least_id"), "vector-members")

@@ -302,11 +302,12 @@ def usable(v):
     return v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)
 
 
-@pytest.mark.parametrize("tile", [1024, 16])
-def test_embedding_duplicates(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "window"), [(1024, 128), (16, 16)])
+def test_embedding_duplicates(spark, monkeypatch, tile, window):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "RECALL", 1 - 1e-6)
     rows = vectors()
-    got = embeddings.near_duplicates(spark.createDataFrame([(*r, "c") for r in rows], KIND)).collect()
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, "c") for r in rows], KIND), window=window).collect()
     n = len(rows)
     x = [np.array(v) / np.linalg.norm(v) if usable(v) else None for _, v in rows]
     pairs = [(i, j) for i in range(n) for j in range(i) if x[i] is not None and x[j] is not None and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.95]
@@ -336,6 +337,30 @@ def test_embedding_dense_group(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(k) - 1, comp[i]) for i, k in enumerate(near.sum(axis=1))}
 
 
+def test_embedding_recall(spark):
+    """Pairs just above the threshold among 50,000 vectors: recall by the promise, and one result for any dealing of the table."""
+    r = np.random.default_rng(21)
+    n, pairs, dim = 50_000, 1500, 64
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.standard_normal((pairs, dim))
+    away -= (away * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = r.uniform(0.9501, 0.97, (pairs, 1))
+    x[pairs : 2 * pairs] = cos * x[:pairs] + np.sqrt(1 - cos**2) * away
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    results, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            results.append({v.vec_id: (v.n_links, v.component_id) for v in embeddings.near_duplicates(d.repartition(int(parts))).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
+    assert sum(results[0][i + pairs] == (1, i) for i in range(pairs)) >= 0.99 * pairs
+    assert all(k in ((0, i), (1, i), (1, i - pairs)) for i, k in results[0].items())
+
+
 def test_nearest(spark):
     rows = vectors(3, 900)
     index = ann.build(spark.createDataFrame([(*r, "c") for r in rows], KIND))
