@@ -5,16 +5,18 @@ hash, leftmost of ties) of its GRAM-byte grams. Equal strings have equal anchors
 offsets, so a string can repeat only inside its anchor's group. Consecutive strings with
 one anchor form a segment; equal segments of a group are one class with a count.
 
-- A class that occurs twice or more repeats as a whole.
+- A class that occurs twice or more repeats as a whole; one of it goes on as a partner.
 - Groups of several classes are indexed: their texts are concatenated in buckets of a few
   MB, a Burrows-Wheeler transform of the bucket is kept as runs with the text positions
   sampled at run ends, and the matching statistics of every segment against all others
   stream from the samples: at a run end the match is measured, from there to the next
   sample it shrinks by one per byte. Starts with a match of LENGTH or more are marked.
-- A group of more than MANY classes would put one hot passage into one task. Its strings
-  are told apart by halving: intervals of starts that share ever longer cores, dealt by the
-  core's hash, until an interval is alone or all that share its core are marked. Intervals
-  equal as a whole are marked, and one of them goes on as a partner. This is exact as well.
+- A group of more than MANY classes would put one hot passage into one task. It is split
+  first: the starts of its segments fall into intervals, strings of one interval share a
+  core around the anchor, and intervals with equal cores form a group of their own, with
+  equal intervals counted as one class. Groups that are still too large are split again,
+  by shorter intervals with longer cores; all others go to the index. Equal strings stay
+  together at every step, so this is exact as well.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, written
+from .common import column, partitions, text_slices, written
 
 LENGTH = 400
 GRAM = 128
-MANY = 64
+MANY = 256  # classes that one index may get of one group
 INDEX_BYTES = 1 << 20
 PIECE = 1 << 20  # bytes that are hashed at a time; positions fit into the keys' low 20 bits
 
@@ -183,7 +185,7 @@ def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         powers = _powers(PIECE + 1)
-        for batch in batches:
+        for batch in (part for b in batches for part in text_slices(b, 2, PIECE)):
             rows = batch.column(0).to_pylist()
             texts = batch.column(2).to_pylist()
             found: list[list] = [[] for _ in rows]
@@ -227,72 +229,76 @@ def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _indexed(texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """(h, g, marks) of classes with a count of one in groups of at most MANY classes."""
+    """(h, g, at, marks) from (k, h, g, at, count, n, seg): marks of classes with a count of one, against the texts of one k."""
     spark = texts.sparkSession
-    # Texts of one anchor lie together; a task builds index after index of about index_bytes.
-    dealt = texts.repartition(partitions(spark), "h").sortWithinPartitions("h")
+    # Texts of one group lie together; a task builds index after index of about index_bytes.
+    dealt = texts.repartition(partitions(spark), "k").sortWithinPartitions("k")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def solve(rows):
-            out = ([], [], [])
-            for (_, g, count, n, seg, h), hit in zip(rows, repeated_starts([r[4] for r in rows], length), strict=True):
+            out: list[list] = [[], [], [], []]
+            for (_, h, g, at, count, n, _), hit in zip(rows, repeated_starts([r[6] for r in rows], length), strict=True):
                 if count > 1:
                     continue
                 hit = np.r_[False, hit[:n], False]
                 edge = np.flatnonzero(hit[1:] != hit[:-1])
                 if len(edge):
-                    out[0].append(h)
-                    out[1].append(g)
-                    out[2].append([{"a": int(a), "b": int(b) - 1} for a, b in edge.reshape(-1, 2)])
+                    for col, x in zip(out, (h, g, at, [{"a": int(a), "b": int(b) - 1} for a, b in edge.reshape(-1, 2)]), strict=True):
+                        col.append(x)
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["h", "g", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), kind), strict=True)], names=["h", "g", "at", "marks"])
 
         rows, size = [], 0
         for batch in batches:
-            for h, g, count, n, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= index_bytes and rows[-1][5] != h:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= index_bytes and rows[-1][0] != row[0]:
                     yield solve(rows)
                     rows, size = [], 0
-                rows.append((0, g, count, n, seg, h))
-                size += len(seg)
+                rows.append(row)
+                size += len(row[6])
         if rows:
             yield solve(rows)
 
-    return dealt.select("h", "g", "count", "n", "seg").mapInArrow(run, "h long, g long, marks array<struct<a:int,b:int>>")
+    return dealt.select("k", "h", "g", "at", "count", "n", "seg").mapInArrow(run, "h long, g long, at int, marks array<struct<a:int,b:int>>")
 
 
-def _halved(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, g, marks) of classes in groups of more than MANY classes, by halving intervals of starts.
+def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[DataFrame], DataFrame]:
+    """Groups of more than `many` classes, split by cores: (what to index, marks of intervals that are equal as a whole).
 
     A start is named by l, its distance to the left of the anchor. The starts of a node
-    [l0, l0+size) share the core from -l0 to length-l0-size+1, a longer one the smaller the node.
+    [l0, l0+size) share the core from -l0 to length-l0-size+1, a longer one the smaller the
+    node. What to index has the columns of _indexed(); `at` is where the interval begins.
     """
     size = 1
     while size < length - gram + 1:
         size *= 2
-    live = texts.select("h", "g", "off", "seg", (F.col("off") - F.col("n") + 1).alias("l1"), F.col("off").alias("l2"), F.lit(0).alias("l0"), F.lit(False).alias("marked"))
-    marks = None
+    live = texts.select("h", "g", "off", "seg", (F.col("off") - F.col("n") + 1).alias("l1"), F.col("off").alias("l2"), F.lit(0).alias("l0"), (F.col("count") > 1).alias("marked"))
+    small, marks = [], None
     while size >= 1:
         if size <= length - gram:  # else the core is shorter than the anchor itself
             live = live.withColumn("core", F.xxhash64("h", "l0", F.expr(f"substring(seg, off - l0 + 1, {length} - {size} + 1)")))
             live = live.withColumn("whole", F.sha2(F.concat(F.encode(F.concat_ws(",", "h", "l1", "l2"), "UTF-8"), F.expr(f"substring(seg, off - l2 + 1, l2 - l1 + {length})")), 256))
-            cores = live.groupBy("core").agg(F.count("*").alias("n"), F.min("marked").alias("over")).where("n > 1 and not over").select("core")
-            wholes = live.groupBy("whole").agg(F.count("*").alias("same"), F.min("g").alias("first")).where("same > 1").drop("same")
-            live = written(live.join(cores, "core", "left_semi").join(wholes, "whole", "left"), "substring-halves")
-            done = live.where("first is not null and not marked").select("h", "g", (F.col("off") - F.col("l2")).alias("a"), (F.col("off") - F.col("l1")).alias("b"))
+            # Of equal intervals one goes on as a partner; where it is marked already, so are the others.
+            wholes = live.groupBy("core", "whole").agg(F.count("*").alias("same"), F.min(F.struct("g", "l2")).alias("first"), F.min("marked").alias("known"))
+            wholes = written(wholes, "substring-wholes")
+            cores = wholes.groupBy("core").agg(F.count("*").alias("classes"), F.sum("same").alias("rows"), F.min(F.expr("known or same > 1")).alias("over"))
+            live = written(live.join(wholes.drop("known"), ["core", "whole"]).join(cores.where("rows > 1").drop("rows"), "core"), "substring-parts")
+            done = live.where("same > 1 and not marked").select("h", "g", (F.col("off") - F.col("l2")).alias("a"), (F.col("off") - F.col("l1")).alias("b"))
             marks = done if marks is None else marks.unionByName(done)
-            # One of the equal intervals goes on as a partner for intervals that cover a part of its starts.
-            live = live.where("first is null or first = g").withColumn("marked", F.col("marked") | F.col("first").isNotNull()).drop("core", "whole", "first")
+            live = live.where("classes > 1 and not over").where(F.col("first") == F.struct("g", "l2")).withColumn("marked", F.col("marked") | (F.col("same") > 1))
+            part = F.expr(f"substring(seg, off - l2 + 1, l2 - l1 + {length})")
+            small.append(live.where(F.col("classes") <= many).select(F.col("core").alias("k"), "h", "g", (F.col("off") - F.col("l2")).cast("int").alias("at"), F.when(F.col("marked"), 2).otherwise(1).cast("long").alias("count"), (F.col("l2") - F.col("l1") + 1).cast("int").alias("n"), part.alias("seg")))
+            live = live.where(F.col("classes") > many).drop("core", "whole", "same", "first", "classes", "over")
             if size == 1 or live.isEmpty():
                 break
         half = size // 2
         kids = F.explode(F.array(F.col("l0"), F.col("l0") + half))
         live = live.withColumn("l0", kids).withColumn("l1", F.greatest("l1", "l0")).withColumn("l2", F.least(F.col("l2"), F.col("l0") + half - 1)).where("l1 <= l2")
         size = half
-    return marks.groupBy("h", "g").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    return small, marks.select("h", "g", F.array(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("marks"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -310,11 +316,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     texts = table.select("row", "text").join(lists, "row").select("text", F.explode("want").alias("w"))
     texts = written(texts.select("w.h", "w.g", "w.count", "w.classes", "w.n", "w.off", F.expr(f"substring(text, w.lo + 1, w.n + {length - 1})").alias("seg")), "substring-texts")
     full = classes.where("count > 1").select("h", "g", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"))).alias("marks"))
-    marks = full.unionByName(_indexed(texts.where(F.col("classes") <= many), length, index_bytes))
+    index = texts.where(F.col("classes") <= many).select(F.col("h").alias("k"), "h", "g", F.lit(0).alias("at"), "count", F.col("n").cast("int").alias("n"), "seg")
     hot = texts.where(F.col("classes") > many)
     if not hot.isEmpty():
-        rest = _halved(hot, length, gram)
-        marks = marks.unionByName(rest.join(classes.where("count = 1").select("h", "g"), ["h", "g"], "left_semi"))
+        small, equal = _split(hot, length, gram, many)
+        for part in small:
+            index = index.unionByName(part)
+        full = full.unionByName(equal)
+    found = _indexed(index, length, index_bytes)
+    marks = full.unionByName(found.select("h", "g", F.expr("transform(marks, m -> struct(m.a + at as a, m.b + at as b))").alias("marks")))
+    marks = marks.groupBy("h", "g").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     marks = written(marks, "substring-marks")
     spans = segs.select("row", "lo", "h", "g").join(marks, ["h", "g"]).select("row", F.expr("transform(marks, m -> struct(lo + m.a as a, lo + m.b as b))").alias("m"))
     return table.select("row", "doc_id", "text"), spans.groupBy("row").agg(F.flatten(F.collect_list("m")).alias("marks"))
@@ -337,7 +348,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, **options) -> DataFrame
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for b in batches for part in text_slices(b, 1)):
             out: list[list] = [[] for _ in range(6)]
             for d, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kept, at, gone, n = [], 0, 0, 0
