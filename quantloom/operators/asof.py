@@ -2,7 +2,8 @@
 
 An as-of join is a union of both sides in one window: the last right row at or before
 each left row. It needs one shuffle by the key and no interval join. Without a key the
-window runs over the distinct base timestamps cut into day buckets, so no task sees them all.
+window runs over the distinct base timestamps cut into day buckets, so no task sees a day of
+all symbols; the base rows, dealt by their timestamp, take their row from there.
 """
 
 from __future__ import annotations
@@ -42,14 +43,16 @@ def _last_row(base: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _last_row_global(base: DataFrame, right: DataFrame) -> DataFrame:
-    """The same without a key: inside each day by a window, before it from the last right row of an earlier day."""
+    """The same without a key, for the distinct timestamps: inside each day by a window, before it from the last right row of an earlier day."""
     day = lambda c: F.to_date(c).alias("_day")
-    here = _last_row(base.withColumn("_day", day("timestamp")), right.select("_avail", "_row", day("_avail")), ["_day"])
+    stamps = base.select("timestamp").where("timestamp is not null").distinct().withColumn("_day", day("timestamp"))
+    here = _last_row(stamps, right.select("_avail", "_row", day("_avail")), ["_day"])
     ends = right.groupBy(day("_avail")).agg(F.max_by("_row", "_avail").alias("_end"))
-    days = base.select(day("timestamp")).distinct().join(ends, "_day", "full_outer")
+    days = stamps.select("_day").distinct().join(ends, "_day", "full_outer")
     # One row per calendar day: the carried row of each day is the last of the days before it.
     carried = days.withColumn("_carry", F.last("_end", ignorenulls=True).over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)))
-    return here.join(carried.select("_day", "_carry"), "_day", "left").withColumn("_row", F.coalesce("_row", "_carry")).drop("_day", "_carry")
+    found = here.join(carried.select("_day", "_carry"), "_day", "left").select("timestamp", F.coalesce("_row", "_carry").alias("_row"))
+    return base.join(found, "timestamp", "left").select(*[F.col(f"`{c}`") for c in base.columns], "_row")
 
 
 def context_join(base: DataFrame, context: DataFrame, spec: ContextSpec) -> DataFrame:
@@ -96,7 +99,7 @@ def context_audit(joined: DataFrame, specs: list[ContextSpec]) -> DataFrame:
     return one.select("n", F.explode(F.array(*[f"s{i}" for i in range(len(specs))])).alias("s")).select("s.context_name", F.col("n").alias("n_rows"), "s.null_rate", "s.stale_rate", "s.mean_effective_lag_minutes", "s.max_effective_lag_minutes")
 
 
-def timeframe_join(base: DataFrame, coarse: DataFrame, column: str) -> DataFrame:
-    """A coarser timeframe's feature on the base's rows: the last finished bucket of the symbol."""
-    right = coarse.groupBy("symbol", F.col("timestamp").alias("_avail")).agg(F.max(F.struct(F.col(column).alias("v"))).alias("_row"))
-    return _last_row(base, right, ["symbol"]).withColumn(column, F.col("_row.v")).drop("_row")
+def timeframe_join(base: DataFrame, coarse: DataFrame, *columns: str) -> DataFrame:
+    """A coarser timeframe's features on the base's rows: the last finished bucket of the symbol."""
+    right = coarse.groupBy("symbol", F.col("timestamp").alias("_avail")).agg(F.max(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])).alias("_row"))
+    return _last_row(base, right, ["symbol"]).withColumns({c: F.col(f"_row.v{i}") for i, c in enumerate(columns)}).drop("_row")

@@ -62,3 +62,47 @@ def holdings(prices: DataFrame, weights: dict[str, float], capital: float = 10_0
     g = p.groupBy("ticker").agg(F.min_by("close_price", "date").alias("entry_price"), F.max_by("close_price", "date").alias("final_price")).join(F.broadcast(w), "ticker")
     g = g.withColumn("shares", F.col("initial_weight") * capital / F.col("entry_price")).withColumn("final_value", F.col("shares") * F.col("final_price"))
     return g.withColumn("final_weight", ratio("final_value", F.sum("final_value").over(W.partitionBy(F.lit(0)))))
+
+
+def simple_metrics(curve: DataFrame, n_assets: int, capital: float = 10_000.0, risk_free: float = RISK_FREE) -> DataFrame:
+    """The one-row summary by simple returns: total_return, cagr, annualized_return, annualized_volatility, sharpe_ratio, sortino_ratio, max_drawdown (negative), calmar_ratio.
+
+    The downside deviation behind the Sortino ratio is the root mean square of the days'
+    returns, gains counted as zero; cagr compounds over the return days at PERIODS a year.
+    """
+    w = W.orderBy("date")
+    r = curve.withColumn("r", ratio("portfolio_value", F.lag("portfolio_value").over(w)) - 1)
+    g = r.agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n_trading_days"), F.max_by("portfolio_value", "date").alias("final_value"), F.count("r").alias("n"), (F.avg("r") * PERIODS).alias("annualized_return"), (F.stddev_samp("r") * F.sqrt(F.lit(float(PERIODS)))).alias("annualized_volatility"), F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), 2))) * PERIODS).alias("down"), (-F.max("drawdown")).alias("max_drawdown"))
+    g = g.withColumns({"total_return": F.col("final_value") / capital - 1, "cagr": F.pow(F.col("final_value") / capital, F.try_divide(F.lit(float(PERIODS)), "n")) - 1})
+    excess = F.col("annualized_return") - risk_free
+    return g.withColumns({
+        "n_assets": F.lit(n_assets),
+        "initial_capital": F.lit(float(capital)),
+        "sharpe_ratio": F.when(F.col("annualized_volatility") > 1e-12, excess / F.col("annualized_volatility")),
+        "sortino_ratio": F.when(F.col("down") > 1e-12, excess / F.col("down")),
+        "calmar_ratio": F.when(F.col("max_drawdown") < -1e-12, F.col("cagr") / -F.col("max_drawdown")),
+        "risk_free_rate": F.lit(risk_free),
+    }).drop("n", "down")
+
+
+def allocation_summary(prices: DataFrame, weights: DataFrame, capital: float = 10_000.0, risk_free: float = RISK_FREE) -> DataFrame:
+    """Per strategy of `weights` (strategy, ticker, weight; one basket): the buy-and-hold figures and the shape of its weights.
+
+    All strategies share one pass over the basket's aligned prices.
+    """
+    tickers = [r[0] for r in weights.select("ticker").distinct().orderBy("ticker").collect()]  # one basket
+    p = aligned_prices(prices, tickers)
+    entry = p.groupBy("ticker").agg(F.min_by("close_price", "date").alias("entry"))
+    shares = weights.join(entry, "ticker").select("strategy", "ticker", (F.col("weight") * capital / F.col("entry")).alias("shares"))
+    v = p.join(F.broadcast(shares), "ticker").groupBy("strategy", "date").agg(F.sum(F.col("shares") * F.col("close_price")).alias("value"))  # a weight per strategy and ticker
+    order = W.partitionBy("strategy").orderBy("date")
+    r = safe_log(ratio("value", F.lag("value").over(order)))
+    peak = F.max("value").over(order.rowsBetween(W.unboundedPreceding, 0))
+    g = v.select("strategy", "date", "value", r.alias("r"), (1 - ratio("value", peak)).alias("drawdown")).groupBy("strategy").agg(F.max_by("value", "date").alias("final_value"), F.count("r").alias("n"), (F.avg("r") * PERIODS).alias("ann_return"), (F.stddev_samp("r") * F.sqrt(F.lit(float(PERIODS)))).alias("ann_vol"), F.max("drawdown").alias("max_drawdown"))
+    g = g.withColumns({"total_return": F.col("final_value") / capital - 1, "cagr": F.pow(F.col("final_value") / capital, F.try_divide(F.lit(float(PERIODS)), "n")) - 1})
+    shape = weights.groupBy("strategy").agg(F.count("*").alias("n_etfs"), F.min("weight").alias("min_weight"), F.sum((F.col("weight") > 1e-12).cast("int")).alias("nonzero_positions"), F.max("weight").alias("top_weight"), F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective_n"))
+    return g.join(shape, "strategy").withColumns({
+        "budget": F.lit(float(capital)),
+        "sharpe": F.when(F.col("ann_vol") > 1e-12, (F.col("ann_return") - risk_free) / F.col("ann_vol")),
+        "calmar_ratio": F.when(F.col("max_drawdown") > 1e-12, F.col("cagr") / F.col("max_drawdown")),
+    }).drop("n")

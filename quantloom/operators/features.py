@@ -50,14 +50,20 @@ def feature_relative_return(s: dict) -> Column:
     return log_return(F.col("close"), KEY, ORDER, n) - log_return(F.col(s["benchmark"]), KEY, ORDER, n)
 
 
+def _benchmark_return(s: dict) -> str:
+    """The input column with the returns of a specification's own benchmark."""
+    return f"`_b {s['benchmark']}`"
+
+
 def feature_beta_residual(s: dict) -> Column:
     """The return less beta times the benchmark's; beta from the last n pairs of rows."""
     n = int(s["window"])
     w = W.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(-(n - 1), 0)
-    pair = F.col("_r").isNotNull() & F.col("_b").isNotNull()
+    b = F.col(_benchmark_return(s))
+    pair = F.col("_r").isNotNull() & b.isNotNull()
     full = F.count(F.when(pair, 1)).over(w) == n
-    beta = ratio(F.covar_samp(F.when(pair, F.col("_r")), F.when(pair, F.col("_b"))).over(w), F.var_samp("_b").over(w))
-    return F.when(full, F.col("_r") - beta * F.col("_b"))
+    beta = ratio(F.covar_samp(F.when(pair, F.col("_r")), F.when(pair, b)).over(w), F.var_samp(b).over(w))
+    return F.when(full, F.col("_r") - beta * b)
 
 
 def feature_liquidity_surprise(s: dict) -> Column:
@@ -103,8 +109,9 @@ def with_inputs(df: DataFrame, specs: list[dict]) -> DataFrame:
         cols["_r"] = log_return(F.col("close"), KEY, ORDER)
     if "range" in kinds:
         cols["_range"] = ratio(F.col("high") - F.col("low"), "close")
-    if "beta_residual" in kinds:
-        cols["_b"] = log_return(F.col(next(s for s in specs if s["kind"] == "beta_residual")["benchmark"]), KEY, ORDER)
+    for s in specs:
+        if s["kind"] == "beta_residual":
+            cols[_benchmark_return(s)[1:-1]] = log_return(F.col(s["benchmark"]), KEY, ORDER)
     if "rsi" in kinds:
         d = F.col("close") - F.lag("close").over(W.partitionBy(*KEY).orderBy(*ORDER))
         cols |= {"_up": F.greatest(d, F.lit(0.0)), "_down": F.greatest(-d, F.lit(0.0))}
@@ -120,11 +127,12 @@ def run_features(bars: DataFrame, specs: list[dict]) -> DataFrame:
     own = [s for s in specs if not s.get("timeframe")]
     out = with_inputs(bars, own)
     out = out.withColumns({s["name"]: FEATURES[s["kind"]](s) for s in own}) if own else out
-    out = out.drop("_r", "_range", "_b", "_up", "_down")
-    for s in specs:
-        if s.get("timeframe"):
-            coarse = with_inputs(resample(bars, int(s["timeframe"])), [s])
-            out = timeframe_join(out, coarse.select("symbol", "timestamp", FEATURES[s["kind"]](s).alias(s["name"])), s["name"])
+    out = out.drop("_r", "_range", "_up", "_down", *[_benchmark_return(s)[1:-1] for s in own if s["kind"] == "beta_residual"])
+    # One resampling and one join for all features of a timeframe.
+    for minutes in dict.fromkeys(int(s["timeframe"]) for s in specs if s.get("timeframe")):
+        mine = [s for s in specs if s.get("timeframe") and int(s["timeframe"]) == minutes]
+        coarse = with_inputs(resample(bars, minutes), mine)
+        out = timeframe_join(out, coarse.select("symbol", "timestamp", *[FEATURES[s["kind"]](s).alias(s["name"]) for s in mine]), *[s["name"] for s in mine])
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.series import average_rank
+from ..functions.series import average_rank, ratio, safe_log
 
 
 def filled(panel: DataFrame) -> DataFrame:
@@ -28,24 +28,53 @@ def pairs(values: DataFrame, aggregate) -> DataFrame:
 
 def spearman(panel: DataFrame) -> DataFrame:
     """Rank correlations of the filled panel, ties averaged."""
-    ranks = filled(panel).select("ticker", "date", average_rank("x", ["ticker"]).alias("x"))
-    return pairs(ranks, F.corr("xi", "xj"))
+    return spearman_filled(filled(panel))
 
 
-def spearman_vectors(panel: DataFrame) -> DataFrame:
-    """The same for many tickers: rank vectors by date and one correlation pass of the ML library."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
+def spearman_filled(values: DataFrame) -> DataFrame:
+    """Rank correlations of a panel that is filled already."""
+    return pairs(values.select("ticker", "date", average_rank("x", ["ticker"]).alias("x")), F.corr("xi", "xj"))
+
+
+TICKERS = 256  # tickers of a block of vectors
+
 
+def spearman_vectors(panel: DataFrame) -> DataFrame:
+    """The same for many tickers: a standardised rank vector per ticker, blocks of vectors multiplied on the executors, no matrix on the driver."""
     ranks = filled(panel).select("ticker", "date", average_rank("x", ["ticker"]).alias("x"))
-    names = [r[0] for r in ranks.select("ticker").distinct().orderBy("ticker").collect()]
-    rows = ranks.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("ticker", "x"))), lambda s: s["x"]).alias("a"))
-    m = Correlation.corr(rows.select(array_to_vector("a").alias("v")), "v").head()[0].toArray()
-    return panel.sparkSession.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "ticker_i string, ticker_j string, value double")
+    vectors = ranks.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "x"))), lambda s: s["x"].cast("double")).alias("v"))
+    blocks = max(1, -(-panel.select("ticker").distinct().count() // TICKERS))
+    dealt = vectors.withColumn("b", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "ticker", "v")
+
+    def multiply(table):
+        import numpy as np
+        import pyarrow as pa
+
+        block, names = table["b"].to_numpy(), np.array(table["ticker"].to_pylist(), object)
+        x = np.array(table["v"].to_pylist(), np.float64)
+        x = x - x.mean(axis=1, keepdims=True)
+        norm = np.sqrt((x * x).sum(axis=1))
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        scale = norm[a][:, None] * norm[b]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where(scale > 0, x[a] @ x[b].T / scale, np.nan)
+        i, j = np.divmod(np.arange(value.size), max(1, len(b)))
+        left, right, value = names[a][i], names[b][j], value.ravel()
+        if lo != hi:
+            left, right, value = np.r_[left, right], np.r_[right, left], np.r_[value, value]
+        return pa.table({"ticker_i": pa.array(left, pa.string()), "ticker_j": pa.array(right, pa.string()), "value": pa.array(value, pa.float64(), mask=np.isnan(value))})
+
+    return dealt.groupBy("lo", "hi").applyInArrow(multiply, "ticker_i string, ticker_j string, value double")
 
 
 def covariance(panel: DataFrame) -> DataFrame:
-    return pairs(filled(panel), F.covar_samp("xi", "xj"))
+    return covariance_filled(filled(panel))
+
+
+def covariance_filled(values: DataFrame) -> DataFrame:
+    return pairs(values, F.covar_samp("xi", "xj"))
 
 
 def distance(corr: DataFrame) -> DataFrame:
@@ -60,6 +89,15 @@ def average_abs_correlation(corr: DataFrame) -> DataFrame:
     return corr.groupBy(F.col("ticker_i").alias("ticker")).agg(F.avg(others).alias("avg_abs_corr"))
 
 
+def weekly_correlation(closes: DataFrame) -> DataFrame:
+    """Correlation of weekly log returns over the weeks in which every ticker has one; closes: ticker, week, close_price."""
+    w = W.partitionBy("ticker").orderBy("week")
+    r = closes.select("ticker", F.col("week").alias("date"), safe_log(ratio("close_price", F.lag("close_price").over(w))).alias("x")).where("x is not null")
+    n = closes.select("ticker").distinct().count()
+    common = r.withColumn("k", F.count("*").over(W.partitionBy("date"))).where(F.col("k") == n)
+    return pairs(common.select("ticker", "date", "x"), F.corr("xi", "xj"))
+
+
 def pearson_simple(prices: DataFrame) -> DataFrame:
     """Correlation of simple returns over dates on which every ticker has a price."""
     n = prices.select("ticker").distinct().count()

@@ -124,7 +124,7 @@ def aligned_prices(prices: DataFrame, tickers=None) -> DataFrame:
         prices = prices.where(F.col("ticker").isin(*tickers))
     grid = prices.select("date").distinct()
     names = prices.select("ticker").distinct()
-    every = grid.crossJoin(F.broadcast(names))  # a basket's tickers: the dense price matrix itself
+    every = grid.crossJoin(names if tickers is None else F.broadcast(names))  # the dense price matrix itself; a basket's tickers are few
     fill = W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     full = every.join(prices.select("ticker", "date", "close_price"), ["ticker", "date"], "left").withColumn("close_price", F.last("close_price", ignorenulls=True).over(fill))
     whole = W.partitionBy("date")

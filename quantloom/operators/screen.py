@@ -132,3 +132,6 @@ def ticker_year_metrics(prices: DataFrame, risk_free: float = 0.05, periods: int
     return g.withColumn("total_return", ratio("end_price", "start_price") - 1).withColumn("sharpe_ratio", ratio(F.col("annualized_return") - risk_free, "annualized_volatility"))
 
 
+def ticker_year_pivot(metrics: DataFrame, value: str, years: list[int]) -> DataFrame:
+    """ticker_year_metrics() as a table: a row per ticker, a column per year."""
+    return metrics.groupBy("ticker").pivot("year", list(years)).agg(F.first(value))

@@ -180,6 +180,21 @@ def membership(baskets: DataFrame) -> DataFrame:
     return full.groupBy("ticker").agg(F.count("rank").alias("selection_count"), F.sum(F.col("rank").isNull().cast("int")).alias("missing_rank_count"), F.avg("rank").alias("average_rank_selected_only"), F.avg(F.coalesce("rank", "penalty").cast("double")).alias("average_rank"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "rank")))).alias("ranks")).orderBy("average_rank", "average_rank_selected_only", "missing_rank_count", "ticker")
 
 
+def consensus(baskets: DataFrame, n: int) -> DataFrame:
+    """The first n tickers of membership(): ticker, selection_count and one <method>_rank column per method."""
+    methods = [r[0] for r in baskets.select("method").distinct().orderBy("method").collect()]  # a handful
+    return membership(baskets).limit(n).select("ticker", "selection_count", *[F.col("ranks")[m].alias(f"{m}_rank") for m in methods])
+
+
+def merged(baskets: DataFrame, stats: DataFrame, anchors=()) -> DataFrame:
+    """Per selected ticker: a 0/1 column per method, method_count, is_anchor, its figures of `stats` (ticker, sharpe, ...) and avg_method_sharpe, the mean Sharpe ratio over the methods that hold it."""
+    methods = [r[0] for r in baskets.select("method").distinct().orderBy("method").collect()]
+    flags = baskets.groupBy("ticker").agg(*[F.max((F.col("method") == m).cast("int")).alias(m) for m in methods], F.countDistinct("method").alias("method_count"))
+    own = baskets.join(stats.select("ticker", "sharpe"), "ticker", "left").groupBy("ticker").agg(F.avg("sharpe").alias("avg_method_sharpe"))
+    out = flags.withColumn("is_anchor", F.col("ticker").isin(*anchors).cast("int") if anchors else F.lit(0))
+    return out.join(stats, "ticker", "left").join(own, "ticker").orderBy(F.desc("method_count"), "ticker")
+
+
 def overlap(baskets: DataFrame) -> DataFrame:
     """method_a, method_b, n_common, zero pairs included."""
     m = baskets.select("method").distinct()

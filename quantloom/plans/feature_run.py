@@ -1,6 +1,6 @@
 """A whole feature run from a configuration: sources, sessions, contexts, features, cross-section, labels, audits.
 
-Everything up to the sinks is one lazy plan; the audits are one aggregate pass each.
+Everything up to the sinks is one lazy plan. write() makes the matrix once and takes the audits from the written copy.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def run_audit(matrix: DataFrame, sources: dict[str, DataFrame], context: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(spark: SparkSession, run_conf: dict, primary: list, contexts: list, catalog: dict[str, DataFrame], feature_specs: list[dict], cross_specs: list[dict] = (), label_specs: list[dict] = (), metadata: DataFrame | None = None) -> dict[str, DataFrame]:
-    """{feature_matrix, session_primitives, context_audit, feature_manifest, run_audit}."""
+def run(spark: SparkSession, run_conf: dict, primary: list, contexts: list, catalog: dict[str, DataFrame], feature_specs: list[dict], cross_specs: list[dict] = (), label_specs: list[dict] = (), metadata: DataFrame | None = None) -> dict:
+    """{feature_matrix, session_primitives, context_audit, feature_manifest, run_audit}, and under audits the function that makes the last three from a copy of the matrix."""
     start, end = readers.analysis_window(run_conf["start"], run_conf["end"])
     tz = run_conf.get("timezone", "America/New_York")
     frames = {s.name: readers.normalize(readers.load_source(spark, s, catalog, start, end), tz, s.primary, s.name) for s in [*primary, *contexts]}
@@ -40,12 +40,23 @@ def run(spark: SparkSession, run_conf: dict, primary: list, contexts: list, cata
         matrix = features.run_cross_section(matrix, list(cross_specs))
     if label_specs:
         matrix = features.run_labels(matrix, list(label_specs))
-    produced = [*feature_specs, *cross_specs, *label_specs]
-    context = asof.context_audit(matrix, specs) if specs else spark.createDataFrame([], "context_name string, n_rows long, null_rate double, stale_rate double, mean_effective_lag_minutes double, max_effective_lag_minutes double")
+    audits = lambda m: matrix_audits(m, specs, [*feature_specs, *cross_specs, *label_specs], frames)
+    return {"feature_matrix": matrix, "session_primitives": prims, **audits(matrix), "audits": audits}
+
+
+def matrix_audits(matrix: DataFrame, specs: list, produced: list[dict], sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """{context_audit, feature_manifest, run_audit} of a feature matrix."""
+    none = "context_name string, n_rows long, null_rate double, stale_rate double, mean_effective_lag_minutes double, max_effective_lag_minutes double"
+    context = asof.context_audit(matrix, specs) if specs else matrix.sparkSession.createDataFrame([], none)
     manifest = features.manifest(matrix, produced)
-    return {"feature_matrix": matrix, "session_primitives": prims, "context_audit": context, "feature_manifest": manifest, "run_audit": run_audit(matrix, frames, context, manifest)}
+    return {"context_audit": context, "feature_manifest": manifest, "run_audit": run_audit(matrix, sources, context, manifest)}
 
 
 def write(folder: str, tables: dict[str, DataFrame], config: dict) -> None:
-    """The artifact bundle; the matrix is written first and the audits read the written copy's plan inputs lazily."""
-    sinks.write_bundle(folder, tables, config)
+    """The artifact bundle of run(): the matrix is computed and written once, the audits read the written copy."""
+    audits = tables["audits"]
+    tables = {k: v for k, v in tables.items() if isinstance(v, DataFrame)}
+    path = f"{folder}/feature_matrix.parquet"
+    matrix = tables.pop("feature_matrix")
+    matrix.write.mode("overwrite").parquet(path)
+    sinks.write_bundle(folder, tables | audits(matrix.sparkSession.read.parquet(path)), config)

@@ -410,6 +410,19 @@ def _(spark, sf):
     return backtest.metrics(backtest.equity_curve(views.dense_prices(spark, sf), WEIGHTS))
 
 
+@add("x_simple_metrics", "start_date d, end_date d, n_assets i, n_trading_days i, final_value n2, total_return n, cagr n, annualized_return n, annualized_volatility n, sharpe_ratio n, sortino_ratio n, max_drawdown n, calmar_ratio n", ["dense_prices"], CURVE.replace("\n;", ",\nr as (select *, portfolio_value / lag(portfolio_value) over (order by date) - 1 r from c),\nm as (select min(date) start_date, max(date) end_date, 3 n_assets, count(*) n_trading_days, arg_max(portfolio_value, date) final_value, pow(arg_max(portfolio_value, date) / 10000.0, 252.0 / count(r)) - 1 cagr, avg(r) * 252 annualized_return, stddev_samp(r) * sqrt(252.0) annualized_volatility, sqrt(avg(pow(least(r, 0), 2)) filter (r is not null) * 252) down, -max(drawdown) max_drawdown from r)\n;") + """
+select *, final_value / 10000.0 - 1 total_return, (annualized_return - 0.05) / annualized_volatility sharpe_ratio, (annualized_return - 0.05) / down sortino_ratio, cagr / -max_drawdown calmar_ratio from m""")
+def _(spark, sf):
+    return backtest.simple_metrics(backtest.equity_curve(views.dense_prices(spark, sf), WEIGHTS), len(WEIGHTS))
+
+
+@add("x_allocation_summary", "strategy s, ann_return n, total_return n, cagr n, ann_vol n, sharpe n, max_drawdown n, calmar_ratio n, final_value n2, n_etfs i, min_weight n, nonzero_positions i, top_weight n, effective_n n", ["dense_prices"], CURVE.replace("\n;", ",\nm as (select avg(log_return) filter (i > 1) * 252 ann_return, stddev_samp(log_return) filter (i > 1) * sqrt(252.0) ann_vol, max(drawdown) max_drawdown, arg_max(portfolio_value, date) final_value, pow(arg_max(portfolio_value, date) / 10000.0, 252.0 / (count(*) - 1)) - 1 cagr from c)\n;") + """
+select 'tilted' strategy, *, final_value / 10000.0 - 1 total_return, (ann_return - 0.05) / ann_vol sharpe, cagr / max_drawdown calmar_ratio, 3 n_etfs, 0.3 min_weight, 3 nonzero_positions, 0.4 top_weight, 1 / (0.16 + 0.09 + 0.09) effective_n from m""")
+def _(spark, sf):
+    w = spark.createDataFrame([("tilted", t, x) for t, x in WEIGHTS.items()], "strategy string, ticker string, weight double")
+    return backtest.allocation_summary(views.dense_prices(spark, sf), w)
+
+
 @add("x_holdings", "ticker s, entry_price n3, shares n, final_value n3, initial_weight n, final_weight n", ["dense_prices"], CURVE + """
 select ticker, arg_min(px, date) entry_price, max(shares) shares, max(shares) * arg_max(px, date) final_value, case ticker when '1-URGENT' then 0.4 else 0.3 end initial_weight, max(shares) * arg_max(px, date) / sum(max(shares) * arg_max(px, date)) over () final_weight from a join sh using (ticker) group by 1""")
 def _(spark, sf):
@@ -432,6 +445,25 @@ def _(spark, sf):
     return selection.membership(_baskets(spark))
 
 
+@add("t6_consensus", "ticker s, selection_count i, m1_rank i, m2_rank i, m3_rank i", [], f"""
+with b as (select * from ({BASKET_SQL}) t(method, rank, ticker)), s as (select method, max(rank) + 1 penalty from b group by 1), f as (select t.ticker, s.method, b.rank, penalty from (select distinct ticker from b) t cross join s left join b on b.method = s.method and b.ticker = t.ticker)
+;
+select ticker, count(rank) selection_count, max(rank) filter (method = 'm1') m1_rank, max(rank) filter (method = 'm2') m2_rank, max(rank) filter (method = 'm3') m3_rank from f group by 1 order by avg(coalesce(rank, penalty)), avg(rank), count(*) - count(rank), ticker limit 4""")
+def _(spark, sf):
+    return selection.consensus(_baskets(spark), 4)
+
+
+MERGED_STATS = [("a", 0.5), ("b", -0.25), ("c", 1.0), ("d", None)]
+
+
+@add("x_merged_membership", "ticker s, m1 i, m2 i, m3 i, method_count i, is_anchor i, sharpe n, avg_method_sharpe n", [], f"""
+with b as (select * from ({BASKET_SQL}) t(method, rank, ticker)), s as (select * from (values {", ".join(f"('{t}', cast({'null' if v is None else v} as double))" for t, v in MERGED_STATS)}) t(ticker, sharpe))
+;
+select ticker, max(cast(method = 'm1' as int)) m1, max(cast(method = 'm2' as int)) m2, max(cast(method = 'm3' as int)) m3, count(*) method_count, cast(ticker = 'b' as int) is_anchor, max(sharpe) sharpe, max(sharpe) avg_method_sharpe from b left join s using (ticker) group by 1""")
+def _(spark, sf):
+    return selection.merged(_baskets(spark), spark.createDataFrame(MERGED_STATS, "ticker string, sharpe double"), ["b"])
+
+
 @add("a25_overlap", "method_a s, method_b s, n_common i", [], f"""
 with b as (select * from ({BASKET_SQL}) t(method, rank, ticker))
 ;
@@ -542,6 +574,25 @@ def _(spark, sf):
     return _features(spark, sf)
 
 
+BENCH_SPECS = [{"name": f"beta_{b}", "kind": "beta_residual", "window": n, "benchmark": b} for b, n in (("b1", 60), ("b2", 60), ("b1x", 20))]
+
+
+@add("w15_two_benchmarks", "symbol s, timestamp t, beta_b1 n5, beta_b2 n5, beta_b1x n5", ["minute_bars"], """
+with j as (select b.*, c."close" b1 from minute_bars b asof left join (select * from minute_bars where symbol = 'view') c on b."timestamp" >= c."timestamp"),
+j2 as (select j.*, c."close" b2 from j asof left join (select * from minute_bars where symbol = 'click') c on j."timestamp" >= c."timestamp"),
+i as (select *, ln("close" / lag("close") over w) r, ln(b1 / lag(b1) over w) x, ln(b2 / lag(b2) over w) y from j2 window w as (partition by symbol order by "timestamp"))
+;
+select symbol, "timestamp", case when count(case when r is not null and x is not null then 1 end) over w60 = 60 then r - covar_samp(r, x) over w60 / nullif(var_samp(x) over w60, 0) * x end beta_b1,
+ case when count(case when r is not null and y is not null then 1 end) over w60 = 60 then r - covar_samp(r, y) over w60 / nullif(var_samp(y) over w60, 0) * y end beta_b2,
+ case when count(case when r is not null and x is not null then 1 end) over w20 = 20 then r - covar_samp(r, x) over w20 / nullif(var_samp(x) over w20, 0) * x end beta_b1x
+from i window w60 as (partition by symbol order by "timestamp" rows 59 preceding), w20 as (partition by symbol order by "timestamp" rows 19 preceding)""")
+def _(spark, sf):
+    b = views.minute_bars(spark, sf)
+    j = asof.context_join(b, b.where("symbol = 'view'"), asof.ContextSpec("view", rename={"close": "b1"}))
+    j = asof.context_join(j, b.where("symbol = 'click'"), asof.ContextSpec("click", rename={"close": "b2"}))
+    return features.run_features(j.withColumn("b1x", F.col("b1")), BENCH_SPECS)
+
+
 @add("a22_feature_manifest", "name s, kind s, null_rate n", ["minute_bars"], FEATURE_SQL + " union all ".join(f"select '{s['name']}' name, '{s['kind']}' kind, avg(case when {s['name']} is null then 1.0 else 0 end) null_rate from f" for s in FEATURE_SPECS))
 def _(spark, sf):
     return features.manifest(_features(spark, sf), FEATURE_SPECS)
@@ -616,6 +667,22 @@ def _(spark, sf):
     return screen.ticker_year_metrics(views.daily_prices(spark, sf))
 
 
+@add("x_ticker_year_pivot", "ticker s, 1996 n, 1997 n", ["daily_prices"], """
+with r as (select ticker, year(date) y, arg_max(close_price, date) / arg_min(close_price, date) - 1 t from daily_prices group by 1, 2)
+;
+select ticker, max(t) filter (y = 1996) "1996", max(t) filter (y = 1997) "1997" from r group by 1""")
+def _(spark, sf):
+    return screen.ticker_year_pivot(screen.ticker_year_metrics(views.daily_prices(spark, sf)), "total_return", [1996, 1997])
+
+
+@add("x_weekly_correlation", "ticker_i s, ticker_j s, value n", ["dense_prices"], """
+with k as (select ticker, date + cast((12 - dayofweek(date)) % 7 as integer) w, arg_max(close_price, date) px from dense_prices where close_price is not null group by 1, 2), r as (select ticker, w, ln(px / lag(px) over (partition by ticker order by w)) x from k), c as (select *, count(*) over (partition by w) n from r where x is not null), f as (select * from c where n = (select count(distinct ticker) from k))
+;
+select a.ticker ticker_i, b.ticker ticker_j, corr(a.x, b.x) value from f a join f b using (w) group by 1, 2""")
+def _(spark, sf):
+    return matrices.weekly_correlation(screen.weekly_closes(views.dense_prices(spark, sf)))
+
+
 @add("x_volume_stats", "ticker s, trading_days i, total_volume n, average_daily_volume n, median_daily_volume n, min_daily_volume n, max_daily_volume n", ["daily_prices"], "select ticker, count(volume) trading_days, sum(volume) total_volume, avg(volume) average_daily_volume, median(volume) median_daily_volume, min(volume) min_daily_volume, max(volume) max_daily_volume from daily_prices where year(date) = 1998 group by 1")
 def _(spark, sf):
     return screen.volume_stats(views.daily_prices(spark, sf), 1998)
@@ -624,12 +691,14 @@ def _(spark, sf):
 # --- driver-side selectors and solvers: their inputs have SQL above; here their results ---
 
 
-def _matrices(spark, sf):
-    p = views.dpanel(spark, sf)
-    names, corr = matrices.to_matrix(matrices.spearman(p))
-    _, cov = matrices.to_matrix(matrices.covariance(p), names)
+def _matrices(spark, sf, filled=None):
     import numpy as np
 
+    x = matrices.filled(views.dpanel(spark, sf)).cache() if filled is None else filled  # one dense panel behind both matrices
+    names, corr = matrices.to_matrix(matrices.spearman_filled(x))
+    _, cov = matrices.to_matrix(matrices.covariance_filled(x), names)
+    if filled is None:
+        x.unpersist()
     d = np.sqrt(np.clip((1 - corr) / 2, 0, 1))
     np.fill_diagonal(d, 0)
     return names, corr, cov, d
@@ -663,7 +732,7 @@ def _(spark, sf):
     return spark.createDataFrame([(selection.equal_weight_dr(cov),)], "div_ratio double")
 
 
-@add("u5_anchor_first", "rank i, ticker s, marginal n")
+@add("u5_anchor_first", "rank i, ticker s, marginal n", ["dense_prices"], "select row_number() over (order by case ticker when '2-HIGH' then 0 when '5-LOW' then 1 else 2 end, ticker) rank, ticker, cast(null as double) marginal from (select distinct ticker from dense_prices) qualify rank <= 4")
 def _(spark, sf):
     names = _matrices(spark, sf)[0]
     return selection.basket(spark, [(t, None) for t in selection.anchor_first(["5-LOW"], names, 4, ["2-HIGH"])])
@@ -692,8 +761,10 @@ def _(spark, sf):
 def _allocations(spark, sf):
     import numpy as np
 
-    names, _, cov, d = _matrices(spark, sf)
-    x = matrices.filled(views.dpanel(spark, sf)).collect()  # dates x tickers of one basket
+    panel_ = matrices.filled(views.dpanel(spark, sf)).cache()
+    names, _, cov, d = _matrices(spark, sf, panel_)
+    x = panel_.collect()  # dates x tickers of one basket
+    panel_.unpersist()
     at = {t: i for i, t in enumerate(names)}
     days = {t: i for i, t in enumerate(sorted({r["date"] for r in x}))}
     r = np.zeros((len(days), len(names)))

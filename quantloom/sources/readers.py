@@ -115,9 +115,9 @@ def normalize(df: DataFrame, internal_tz: str = "America/New_York", primary: boo
     })
 
 
-def read_prices(spark: SparkSession, path: str, symbols=None, start: str | None = None, end: str | None = None, columns=("ticker", "date", "close_price")) -> DataFrame:
-    """Column-pruned daily closes from Parquet; both bounds count, and the filter is pushed to the scan."""
-    df = spark.read.parquet(path).select(*columns)
+def select_prices(df: DataFrame, symbols=None, start: str | None = None, end: str | None = None, columns=("ticker", "date", "close_price")) -> DataFrame:
+    """The columns of the symbols between both dates, which count; the filters are pushed to the scan."""
+    df = df.select(*columns)
     if symbols is not None:
         df = df.where(F.col("ticker").isin(*symbols))
     if start is not None:
@@ -125,15 +125,37 @@ def read_prices(spark: SparkSession, path: str, symbols=None, start: str | None
     return df if end is None else df.where(F.col("date") <= F.lit(end).cast("date"))
 
 
+def read_prices(spark: SparkSession, path: str, symbols=None, start: str | None = None, end: str | None = None, columns=("ticker", "date", "close_price")) -> DataFrame:
+    """Column-pruned daily closes from Parquet."""
+    return select_prices(spark.read.parquet(path), symbols, start, end, columns)
+
+
+def database_options(env=os.environ) -> dict | None:
+    """JDBC options from DB_URL, DB_USER and DB_PASSWORD, or from the CLICKHOUSE_ variables HOST, PORT, USER, PASSWORD, SECURE and VERIFY; None without them.
+
+    SECURE "true" asks for TLS, VERIFY "true" for a checked certificate; both are off by default.
+    """
+    if env.get("DB_URL"):
+        return {"url": env["DB_URL"], "user": env.get("DB_USER", ""), "password": env.get("DB_PASSWORD", "")}
+    need = [f"CLICKHOUSE_{k}" for k in ("HOST", "PORT", "USER", "PASSWORD")]
+    if any(k not in env for k in need):
+        return None
+    host, port, user, password = (env[k] for k in need)
+    on = lambda k: env.get(f"CLICKHOUSE_{k}", "false").lower() == "true"
+    return {"url": f"jdbc:clickhouse://{host}:{int(port)}", "user": user, "password": password, "ssl": str(on("SECURE")).lower(), "sslmode": "strict" if on("VERIFY") else "none"}
+
+
 def read_jdbc(spark: SparkSession, table: str, **options) -> DataFrame:
-    """A table of a database with credentials from the DB_URL, DB_USER and DB_PASSWORD variables."""
-    opts = {"url": os.environ["DB_URL"], "dbtable": table, "user": os.environ.get("DB_USER", ""), "password": os.environ.get("DB_PASSWORD", "")} | options
-    return spark.read.format("jdbc").options(**opts).load()
+    """A table of the database that the environment names; options override or add to those of the connection."""
+    found = database_options()
+    if found is None and "url" not in options:
+        raise KeyError("no database is named by DB_URL or by CLICKHOUSE_HOST, PORT, USER and PASSWORD")
+    return spark.read.format("jdbc").options(**{"dbtable": table, **(found or {}), **options}).load()
 
 
-def read_prices_or_database(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """The database where its credentials are set, else Parquet."""
-    return read_jdbc(spark, "daily_prices") if os.environ.get("DB_URL") else read_prices(spark, path, **kw)
+def read_prices_or_database(spark: SparkSession, path: str, table: str = "daily_prices", **kw) -> DataFrame:
+    """The database where its credentials are set, else Parquet: the same columns, symbols and dates either way."""
+    return read_prices(spark, path, **kw) if database_options() is None else select_prices(read_jdbc(spark, table), **kw)
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

@@ -341,6 +341,28 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/run/matrix.parquet").count() == 3
 
 
+def test_database_path(spark, tmp_path, monkeypatch):
+    """The database answers with the same columns, symbols and dates as Parquet, and gets the filters pushed down."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [("A", "2024-01-02", 1.0, 5), ("A", "2024-01-03", 2.0, 5), ("B", "2024-01-03", 3.0, 5), ("A", "2024-01-04", 4.0, 5)]
+    d = spark.createDataFrame(rows, "ticker string, date string, close_price double, volume long").withColumn("date", F.to_date("date"))
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    d.write.format("jdbc").options(url=url, dbtable="daily_prices", driver=driver, createTableColumnTypes="ticker varchar(8)").save()
+    monkeypatch.setenv("DB_URL", url)
+    got = readers.read_prices_or_database(spark, "nowhere", symbols=["A"], start="2024-01-03", end="2024-01-03")
+    assert got.columns == ["ticker", "date", "close_price"] and [tuple(r)[::2] for r in got.collect()] == [("A", 2.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "ticker" in plan.split("PushedFilters")[1]
+
+
+def test_database_options():
+    assert readers.database_options({}) is None and readers.database_options({"CLICKHOUSE_HOST": "h"}) is None
+    env = {"CLICKHOUSE_HOST": "h", "CLICKHOUSE_PORT": "8443", "CLICKHOUSE_USER": "u", "CLICKHOUSE_PASSWORD": "p"}
+    assert readers.database_options(env) == {"url": "jdbc:clickhouse://h:8443", "user": "u", "password": "p", "ssl": "false", "sslmode": "none"}
+    got = readers.database_options(env | {"CLICKHOUSE_SECURE": "True", "CLICKHOUSE_VERIFY": "true"})
+    assert got["ssl"] == "true" and got["sslmode"] == "strict"
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     rows = [("A", f"2025-10-01 13:{30 + i}", float(i), 100.0 + i) for i in range(25)] + [("A", "2025-10-03 00:00", 0.0, 1.0)]
     b = bars(spark, rows)
