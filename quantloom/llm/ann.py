@@ -3,9 +3,14 @@
 Codebooks of full-dimensional codewords are fitted stage by stage on a bounded sample
 (SAMPLE vectors, by a seeded hash): k-means on the residual, then one least-squares update of
 all codebooks together. Every vector is encoded by beam search over the codebooks; its code
-and the norm of its reconstruction are stored. A query's inner products with all
-codewords form a lookup table, a candidate's estimate is a sum of table entries, and the
-best of each block are reranked exactly on the original vectors.
+is stored, with its norm and that of its reconstruction. A query's inner products with all
+codewords form a lookup table; a candidate's estimate is a sum of table entries, stretched
+by the two norms, since a reconstruction is shorter than its vector. The best of each block
+are reranked exactly on the original vectors. Vectors meet queries of their own length; a
+length the sample doesn't hold has no codebooks, and its few vectors are compared exactly.
+
+All codes are scanned for each query. A coarse partition was measured and left out: by inner
+product these vectors have no cells worth probing (the README has the figures).
 """
 
 from __future__ import annotations
@@ -19,9 +24,9 @@ from .embeddings import valid
 
 STAGES, WORDS, BEAM = 16, 256, 4
 SAMPLE = 8192
-BLOCK = 8192  # vectors of a block
+BLOCK = 1 << 15  # vectors of a block
 LEAST_BLOCKS = 8
-QUERIES = 2048  # queries of a block
+QUERIES = 1 << 13  # queries of a block
 RERANK = 100  # candidates that each block reranks for a query
 SEED = 17
 
@@ -94,36 +99,39 @@ def fit(x, stages: int = STAGES, words: int = WORDS, seed: int = SEED):
 
 
 def build(vectors: DataFrame, sample: int = SAMPLE, stages: int = STAGES, words: int = WORDS) -> DataFrame:
-    """The index: block, vec_id, embedding (double), code, norm of the reconstruction.
+    """The index: dim, block, vec_id, embedding (double), code, norm of the vector and of the reconstruction.
 
     Takes vec_id and embedding; rows whose id is null or whose vector is null, zero or not
-    finite take no part, nor do vectors of another length than the most common of the sample.
+    finite take no part.
     """
     import numpy as np
 
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").where(F.coalesce(valid(), F.lit(False)))
     n = good.count()
-    picked = good.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).to_pylist()
-    dims = sorted({len(v) for v in picked}, key=lambda d: (-sum(len(v) == d for v in picked), d))
-    dim = dims[0] if dims else 0
-    books = fit(np.array([v for v in picked if len(v) == dim]), stages, words) if picked else [np.zeros((1, 1), np.float32)]
-    shared = spark.sparkContext.broadcast(books)  # stages * words codewords
+    picked = good.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "embedding").limit(sample).select("embedding").toArrow().column(0).to_pylist()
+    books = {d: fit(np.array([v for v in picked if len(v) == d]), stages, words) for d in sorted({len(v) for v in picked})}
+    shared = spark.sparkContext.broadcast(books)  # stages * words codewords, of the sample's lengths
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                codes = encode(x, shared.value)
-                norm = np.linalg.norm(decode(codes, shared.value), axis=1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["block", "vec_id", "embedding", "code", "norm"])
-
-    dealt = good.where(F.size("embedding") == dim).select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
-    index = written(dealt.mapInArrow(run, "block int, vec_id long, embedding array<double>, code binary, norm double"), "ann-index")
+            size = batch.column(0).to_numpy()
+            for d in np.unique(size).tolist():
+                rows = batch.filter(pa.array(size == d))
+                own = shared.value.get(d)
+                for i in range(0, rows.num_rows, 1024):
+                    part = rows.slice(i, 1024)
+                    x = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    norm = np.linalg.norm(x, axis=1)
+                    codes = encode(x, own) if own else np.zeros((len(x), 0), np.uint8)
+                    short = np.linalg.norm(decode(codes, own), axis=1).astype(np.float64) if own else norm
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(short)], names=["dim", "block", "vec_id", "embedding", "code", "norm", "short"])
+
+    dealt = good.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
+    index = written(dealt.mapInArrow(run, "dim int, block int, vec_id long, embedding array<double>, code binary, norm double, short double"), "ann-index")
     index.books, index.blocks = books, blocks
     return index
 
@@ -133,15 +141,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERA
 
     index: from build(). queries: vec_id, embedding (rows as build() takes them). A
     query's own id is no candidate; repeated candidate rows each count. Query blocks meet
-    vector blocks, each meeting in a task of bounded size; each hands on k rows a query.
+    vector blocks of their length, each meeting in a task of bounded size; each hands on k
+    rows a query.
     """
     books, blocks = index.books, index.blocks
     n = queries.count()
     chunks = max(1, -(-n // QUERIES))
     shared = index.sparkSession.sparkContext.broadcast(books)
-    left = queries.select(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "chunk", "vec_id", "embedding", F.lit(None).cast("binary").alias("code"))
-    right = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("block", "chunk", "vec_id", "embedding", "code")
+    none = F.lit(None)
+    left = queries.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "block", "chunk", "vec_id", "embedding", none.cast("binary").alias("code"), none.cast("double").alias("stretch"))
+    right = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("dim", "block", "chunk", "vec_id", "embedding", "code", F.expr("if(short > 0, norm / short, 1.0D)").alias("stretch"))
     both = left.unionByName(right)
 
     def run(table):
@@ -159,13 +169,18 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERA
         if len(q) and len(at):
             v, vid = np.ascontiguousarray(x[at]), ids[at]
             codes = np.frombuffer(b"".join(table["code"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-            books = shared.value
+            stretch = table["stretch"].to_numpy()[at].astype(np.float32)
+            own = shared.value.get(x.shape[1])
             take = min(rerank + 1, len(at))
-            for a in range(0, len(q), 128):
-                part = q[a : a + 128]
-                estimate = np.zeros((len(part), len(at)), np.float32)
-                for s, book in enumerate(books):
-                    estimate += (part.astype(np.float32) @ book.T)[:, codes[:, s]]
+            for a in range(0, len(q), 64):
+                part = q[a : a + 64]
+                if own:
+                    estimate = np.zeros((len(part), len(at)), np.float32)
+                    for s, book in enumerate(own):
+                        estimate += (part.astype(np.float32) @ book.T)[:, codes[:, s]]
+                    estimate *= stretch
+                else:
+                    estimate = part @ v.T
                 floor = np.partition(estimate, len(at) - take, axis=1)[:, len(at) - take]
                 for i in range(len(part)):
                     row = estimate[i]
@@ -182,6 +197,6 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERA
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64 if j < 2 else np.float64) for j, c in enumerate(out)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    local = both.groupBy("block", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
+    local = both.groupBy("dim", "block", "chunk").applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -379,6 +379,19 @@ def test_nearest(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_ties_and_lengths(spark):
+    """Equal scores rank by vec_id, vectors of every length take part, also of one the sample lacks."""
+    rows = [(i, [1.0, float(i % 2)]) for i in range(1, 60)] + [(60, [1.0, 1.0]), (80, [2.0, 0.0, 1.0]), (81, [1.0, 1.0, 1.0]), (82, [0.0, 0.0, 3.0]), (100, [5.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sample in (8192, 40):
+        index = ann.build(d, sample=sample)
+        got = {}
+        for r in ann.search(index, index.where("vec_id % 20 = 0").select("vec_id", "embedding")).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got[80] == [(81, 3.0), (82, 3.0)] and 100 not in got
+        assert got[60] == [(i, 2.0) for i in range(1, 41, 2)] and [v for v, _ in got[20]] == [i for i in range(1, 22) if i != 20]
+
+
 def test_nearest_recall(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = queries.op8_nearest(spark, SF).toPandas()
