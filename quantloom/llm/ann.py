@@ -27,7 +27,8 @@ SAMPLE = 8192
 BLOCK = 1 << 15  # vectors of a block
 LEAST_BLOCKS = 8
 QUERIES = 1 << 13  # queries of a block
-RERANK = 100  # candidates that each block reranks for a query
+RERANK = 100  # candidates that each block reranks for a query, at least
+SHARE = 64  # and one of so many of the block's vectors
 SEED = 17
 
 
@@ -171,7 +172,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERA
             codes = np.frombuffer(b"".join(table["code"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
             stretch = table["stretch"].to_numpy()[at].astype(np.float32)
             own = shared.value.get(x.shape[1])
-            take = min(rerank + 1, len(at))
+            take = min(max(rerank, len(at) // SHARE) + 1, len(at))
             for a in range(0, len(q), 64):
                 part = q[a : a + 64]
                 if own:

@@ -92,14 +92,35 @@ class ChunkCache:
         return [self.encode_whole(t) if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
 
 
+def unsupported(j: dict) -> list[str]:
+    """What of a tokenizers file this codec does not read as the library does; empty for the word-level BPE files it is made for."""
+    wrong = []
+    steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (j.get("normalizer") or {}).get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]:
+        wrong.append("normalizer")
+    parts = [(p.get("type"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (j.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if parts != [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]:
+        wrong.append("pre_tokenizer")
+    if j.get("decoder"):
+        wrong.append("decoder")
+    model = j.get("model") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        wrong.append("model")
+    if any(t.get(k) for t in j.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        wrong.append("added_tokens")
+    return wrong
+
+
 class BpeCodec:
-    """Encoder and decoder read from a `tokenizers` JSON file (BPE with an end-of-word suffix)."""
+    """Encoder and decoder read from a `tokenizers` JSON file (BPE with an end-of-word suffix); another kind of file is an error."""
 
     def __init__(self, spec: str):
         import numpy as np
         import regex
 
         j = json.loads(spec)
+        if unsupported(j):
+            raise ValueError(f"this codec doesn't read such a file: {', '.join(unsupported(j))}")
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""

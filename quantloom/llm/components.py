@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -28,13 +28,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         pu, pv = hook.select("u", F.col("p").alias("a")), hook.select(F.col("u").alias("v"), F.col("p").alias("b"))
         nxt = e.join(pu, "u").join(pv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         nxt = written(nxt, "cc-edges")
+        discard(e)
         if first:
-            nodes = hook.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            nodes = written(hook.select(F.col("u").alias("node"), F.col("p").alias("root")), "cc-nodes")
         else:
             step = hook.select(F.col("u").alias("root"), F.col("p").alias("r2"))
-            nodes = nodes.join(step, "root", "left").select("node", F.coalesce("r2", "root").alias("root"))
+            before = nodes
+            nodes = written(before.join(step, "root", "left").select("node", F.coalesce("r2", "root").alias("root")), "cc-nodes")
+            discard(before)
+        discard(hook)
         if nxt.isEmpty():
+            discard(nxt)
             return nodes
-        if not first:
-            nodes = written(nodes, "cc-nodes")
         first, e = False, nxt

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, written
+from .common import discard, partitions, written
 from .components import connected_components
 
 THRESHOLD = 0.95
@@ -127,8 +127,8 @@ def scaled(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("x", T.BinaryType())]))
 
 
-def ordered(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
-    """rank, dim, pass, run (the first `bits` of the key), node: the orders of all passes as one."""
+def ordered(nodes: DataFrame, bits: int, passes: int) -> tuple[DataFrame, DataFrame]:
+    """(the written table, what is read of it: rank, dim, pass, run (the first `bits` of the key), node): the orders of all passes as one."""
 
     def run(batches):
         import numpy as np
@@ -151,7 +151,8 @@ def ordered(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
     keyed = nodes.select("node", "dim", "x", F.xxhash64("embedding").alias("h")).mapInArrow(run, "node long, dim int, pass int, key long, h long")
     order = ["dim", "pass", "key", "h"]
     rows = keyed.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "vector-order").withColumn("p", F.shiftright("id", 33))
+    table = written(rows.withColumn("id", F.monotonically_increasing_id()), "vector-order")
+    rows = table.withColumn("p", F.shiftright("id", 33))
     # One number per partition goes to the driver and back.
     at, starts = 0, []
     for r in rows.groupBy("p").count().orderBy("p").collect():
@@ -159,15 +160,15 @@ def ordered(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
         at += r["count"]
     first = F.broadcast(nodes.sparkSession.createDataFrame(starts, "p long, first long"))
     rank = F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(first, "p").select(rank.alias("rank"), "dim", "pass", F.shiftright("key", KEY_BITS - bits).alias("run"), "node")
+    return table, rows.join(first, "p").select(rank.alias("rank"), "dim", "pass", F.shiftright("key", KEY_BITS - bits).alias("run"), "node")
 
 
-def candidates(nodes: DataFrame, threshold: float, window: int = WINDOW) -> DataFrame:
-    """Edges (u, v) whose components hold every pair found: close pairs inside the windows, and whole runs that no window holds.
+def candidates(nodes: DataFrame, threshold: float, window: int = WINDOW) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (u, v) whose components hold every pair found: close pairs inside the windows, and whole runs that no window holds; and the tables they read.
 
     nodes: node, dim, embedding, x. The edges are linear in the nodes of each pass.
     """
-    rows = ordered(nodes, *plan(nodes, threshold, window))
+    order, rows = ordered(nodes, *plan(nodes, threshold, window))
     runs = ["dim", "pass", "run"]
     long = written(rows.groupBy(*runs).agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > window).drop("n"), "vector-runs")
     whole = rows.join(long, runs).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
@@ -216,7 +217,7 @@ def candidates(nodes: DataFrame, threshold: float, window: int = WINDOW) -> Data
         if parts and (got := solve(parts)) is not None:
             yield got
 
-    return whole.unionByName(placed.mapInArrow(compare, "u long, v long"))
+    return whole.unionByName(placed.mapInArrow(compare, "u long, v long")), [order, long]
 
 
 def links(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -306,9 +307,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     # One node per distinct vector; -0.0 and 0.0 are one value for grouping.
     nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(scaled(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "embedding", "least_id", "copies")), "vectors")
-    groups = connected_components(written(candidates(nodes, threshold, window).distinct(), "vector-candidates"))
+    edges, used = candidates(nodes, threshold, window)
+    edges = written(edges.distinct(), "vector-candidates")
+    discard(*used)
+    groups = connected_components(edges)
     nodes = nodes.drop("x")
     found = written(links(nodes.join(groups, "node"), threshold), "vector-links")
+    discard(edges, groups)
     roots = connected_components(found.where("v is not null").select("u", "v").distinct())
     counted = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     members = written(nodes.join(roots, "node").select("node", "root", "least_id"), "vector-members")

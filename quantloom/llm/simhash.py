@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, text_slices, written
+from .common import discard, partitions, text_slices, written
 from .components import connected_components
 
 SEED = 42
@@ -189,7 +189,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def rooted(distinct: DataFrame) -> DataFrame:
     """distinct (fp, ...) plus root, the component of its fingerprint."""
-    roots = connected_components(written(links(distinct).distinct(), "simhash-links"))
+    edges = written(links(distinct).distinct(), "simhash-links")
+    roots = connected_components(edges)
+    discard(edges)
     return distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, text_slices, written
+from .common import column, discard, partitions, text_slices, written
 
 LENGTH = 400
 GRAM = 128
@@ -265,8 +265,8 @@ def _indexed(texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
     return dealt.select("k", "h", "g", "at", "count", "n", "seg").mapInArrow(run, "h long, g long, at int, marks array<struct<a:int,b:int>>")
 
 
-def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[DataFrame], DataFrame]:
-    """Groups of more than `many` classes, split by cores: (what to index, marks of intervals that are equal as a whole).
+def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """Groups of more than `many` classes, split by cores: (what to index, marks of intervals that are equal as a whole, the tables written for both).
 
     A start is named by l, its distance to the left of the anchor. The starts of a node
     [l0, l0+size) share the core from -l0 to length-l0-size+1, a longer one the smaller the
@@ -276,7 +276,7 @@ def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[Da
     while size < length - gram + 1:
         size *= 2
     live = texts.select("h", "g", "off", "seg", (F.col("off") - F.col("n") + 1).alias("l1"), F.col("off").alias("l2"), F.lit(0).alias("l0"), (F.col("count") > 1).alias("marked"))
-    small, marks = [], None
+    small, marks, used = [], None, []
     while size >= 1:
         if size <= length - gram:  # else the core is shorter than the anchor itself
             live = live.withColumn("core", F.xxhash64("h", "l0", F.expr(f"substring(seg, off - l0 + 1, {length} - {size} + 1)")))
@@ -286,6 +286,8 @@ def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[Da
             wholes = written(wholes, "substring-wholes")
             cores = wholes.groupBy("core").agg(F.count("*").alias("classes"), F.sum("same").alias("rows"), F.min(F.expr("known or same > 1")).alias("over"))
             live = written(live.join(wholes.drop("known"), ["core", "whole"]).join(cores.where("rows > 1").drop("rows"), "core"), "substring-parts")
+            discard(wholes)
+            used.append(live)
             done = live.where("same > 1 and not marked").select("h", "g", (F.col("off") - F.col("l2")).alias("a"), (F.col("off") - F.col("l1")).alias("b"))
             marks = done if marks is None else marks.unionByName(done)
             live = live.where("classes > 1 and not over").where(F.col("first") == F.struct("g", "l2")).withColumn("marked", F.col("marked") | (F.col("same") > 1))
@@ -298,7 +300,7 @@ def _split(texts: DataFrame, length: int, gram: int, many: int) -> tuple[list[Da
         kids = F.explode(F.array(F.col("l0"), F.col("l0") + half))
         live = live.withColumn("l0", kids).withColumn("l1", F.greatest("l1", "l0")).withColumn("l2", F.least(F.col("l2"), F.col("l0") + half - 1)).where("l1 <= l2")
         size = half
-    return small, marks.select("h", "g", F.array(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("marks"))
+    return small, marks.select("h", "g", F.array(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("marks")), used
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -308,18 +310,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     # Written, so that the join deals both sides anew and a hot anchor's rows can be split among tasks.
     twice = written(segs.groupBy("h").count().where("count > 1").select("h"), "substring-twice")
     segs = written(segs.join(twice, "h", "left_semi"), "substring-repeats")
+    discard(twice)
     classes = written(segs.groupBy("h", "g").agg(F.count("*").alias("count"), F.min(F.struct("row", "lo", "n", "off")).alias("at")), "substring-classes")
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("count").alias("least")).where("classes > 1 and least = 1").select("h", "classes")
     groups = written(groups, "substring-groups")
     needed = classes.join(groups, "h").select("h", "g", "count", "classes", "at.*")
     lists = needed.groupBy("row").agg(F.collect_list(F.struct("h", "g", "count", "classes", "lo", "n", "off")).alias("want"))
     texts = table.select("row", "text").join(lists, "row").select("text", F.explode("want").alias("w"))
+    used = [classes, groups]
     texts = written(texts.select("w.h", "w.g", "w.count", "w.classes", "w.n", "w.off", F.expr(f"substring(text, w.lo + 1, w.n + {length - 1})").alias("seg")), "substring-texts")
     full = classes.where("count > 1").select("h", "g", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"))).alias("marks"))
     index = texts.where(F.col("classes") <= many).select(F.col("h").alias("k"), "h", "g", F.lit(0).alias("at"), "count", F.col("n").cast("int").alias("n"), "seg")
     hot = texts.where(F.col("classes") > many)
     if not hot.isEmpty():
-        small, equal = _split(hot, length, gram, many)
+        small, equal, parts = _split(hot, length, gram, many)
+        used += parts
         for part in small:
             index = index.unionByName(part)
         full = full.unionByName(equal)
@@ -327,6 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     marks = full.unionByName(found.select("h", "g", F.expr("transform(marks, m -> struct(m.a + at as a, m.b + at as b))").alias("marks")))
     marks = marks.groupBy("h", "g").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     marks = written(marks, "substring-marks")
+    discard(texts, *used)
     spans = segs.select("row", "lo", "h", "g").join(marks, ["h", "g"]).select("row", F.expr("transform(marks, m -> struct(lo + m.a as a, lo + m.b as b))").alias("m"))
     return table.select("row", "doc_id", "text"), spans.groupBy("row").agg(F.flatten(F.collect_list("m")).alias("marks"))
 

@@ -1,14 +1,18 @@
 """Operator 7: token ids in bit-plane files.
 
-A file is a run of blocks of BLOCK ids each, a chunk index and a trailer:
+A file is a run of blocks of BLOCK ids each, a document index, a chunk index and a trailer:
 
-    file    = magic "QLBP1\\n", payload..., index, trailer
-    index   = one record per block: offset u64, bytes u32, ids u32, planes u8 (bits per id)
-    trailer = number of blocks u32, index offset u64, magic "QLBPEND\\n"
-    payload = for each bit plane, from the lowest: length u32, zstandard frame
+    file      = magic "QLBP2\n", payload..., documents, index, trailer
+    payload   = for each bit plane, from the lowest: length u32, zstandard frame
+    documents = zstandard frame of a record per document: doc_id i64, has an id u8, ids u64
+    index     = one record per block: offset u64, bytes u32, ids u32, planes u8 (bits per id)
+    trailer   = number of blocks u32, index offset u64, documents offset u64 (all little-endian),
+                ids of the partition's earlier files u64, ids of this file u64 (big-endian),
+                magic "QLBPEND\n"
 
 Block ids are transposed into bit planes (only as many as the largest id of the block
-needs), which makes the high, nearly constant planes vanish under zstandard.
+needs), which makes the high, nearly constant planes vanish under zstandard. A document's
+ids stay in one file; a file ends with the document that fills it.
 
 On a cluster the file images are rows of a Parquet table in the shared folder, written
 by Spark, so a store that only Spark can reach works and a lost executor's files are
@@ -28,13 +32,15 @@ from pyspark.sql import functions as F
 from .bpe import ChunkCache
 from .common import column, partitions, text_slices, worker_state, written
 
-MAGIC, END = b"QLBP1\n", b"QLBPEND\n"
+MAGIC, END = b"QLBP2\n", b"QLBPEND\n"
+TRAILER, COUNTS = "<IQQ", ">QQ"
+RECORD = [("doc_id", "<i8"), ("has_id", "u1"), ("ids", "<u8")]
 BLOCK = 1 << 16
 FILE_IDS = 1 << 21  # ids after which a partition starts its next file: bounds a file image to a few MB
 
 
-def pack(ids) -> bytes:
-    """The file image of a numpy array of unsigned 32-bit ids."""
+def pack(ids, doc_ids=(), lengths=(), before: int = 0) -> bytes:
+    """The file image of a numpy array of unsigned 32-bit ids and of the documents they belong to."""
     import numpy as np
     import zstandard
 
@@ -47,7 +53,28 @@ def pack(ids) -> bytes:
         index.append(struct.pack("<QIIB", at, len(payload), len(block), planes))
         out.append(payload)
         at += len(payload)
-    return b"".join([*out, *index, struct.pack("<IQ", len(index), at), END])
+    records = np.zeros(len(doc_ids), RECORD)
+    records["doc_id"], records["has_id"] = [d or 0 for d in doc_ids], [d is not None for d in doc_ids]
+    records["ids"] = lengths
+    documents = z.compress(records.tobytes())
+    return b"".join([*out, documents, *index, struct.pack(TRAILER, len(index), at + len(documents), at), struct.pack(COUNTS, before, len(ids)), END])
+
+
+def trailer(image: bytes) -> tuple[int, int, int, int, int]:
+    """Blocks, index offset, documents offset, ids of earlier files, ids of this file."""
+    if image[: len(MAGIC)] != MAGIC or image[-len(END) :] != END:
+        raise ValueError("not a bit-plane file")
+    at = len(image) - len(END) - struct.calcsize(COUNTS)
+    return *struct.unpack_from(TRAILER, image, at - struct.calcsize(TRAILER)), *struct.unpack_from(COUNTS, image, at)
+
+
+def documents(image: bytes):
+    """The records (doc_id, has_id, ids) of a file's documents."""
+    import numpy as np
+    import zstandard
+
+    _, index, start, _, _ = trailer(image)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(image[start:index]), RECORD)
 
 
 def unpack(image: bytes, blocks: range | None = None):
@@ -55,10 +82,8 @@ def unpack(image: bytes, blocks: range | None = None):
     import numpy as np
     import zstandard
 
-    if image[: len(MAGIC)] != MAGIC or image[-len(END) :] != END:
-        raise ValueError("not a bit-plane file")
+    n, start, _, _, _ = trailer(image)
     z = zstandard.ZstdDecompressor()
-    n, start = struct.unpack_from("<IQ", image, len(image) - len(END) - 12)
     out = [np.zeros(0, "<u4")]
     for b in blocks if blocks is not None else range(n):
         at, _, count, planes = struct.unpack_from("<QIIB", image, start + 17 * b)
@@ -117,16 +142,16 @@ def library_encoder(vocabulary: str, spec: str):
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Encode, append `end_id` to each document and write ids in ascending doc_id order.
 
-    Returns the table of files: part (ordinal of the range partition), seq (file within
-    it), before (ids of the partition's earlier files), n_ids, doc_ids, lengths (ids of each document, end id included) and image.
-    Rows order by doc_id, nulls last, then text, so equal rows are interchangeable; a
-    document's ids may cross into the next file. An empty table writes no file.
+    Returns the table of files: part (ordinal of the range partition), seq (file within it)
+    and image. Rows order by doc_id, nulls last, then by their place in the table, which also
+    parts rows of one doc_id among tasks. A document stays in one file, whose image is
+    bounded by FILE_IDS and that document. An empty table writes no file.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     n = partitions(docs.sparkSession)
-    key = [F.col("doc_id").asc_nulls_last()]
-    dealt = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string")).repartitionByRange(n, *key).sortWithinPartitions(*key, "text")
+    key = [F.col("doc_id").asc_nulls_last(), F.col("place")]
+    dealt = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"), F.monotonically_increasing_id().alias("place")).repartitionByRange(n, *key).sortWithinPartitions(*key).select("doc_id", "text")
 
     def run(batches):
         import numpy as np
@@ -140,8 +165,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
         buf, ids, lens, held, before = [], [], [], 0, 0
 
         def flush():
-            image = pack(np.frombuffer(b"".join(buf), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([image], pa.binary())], names=["part", "seq", "before", "n_ids", "doc_ids", "lengths", "image"])
+            image = pack(np.frombuffer(b"".join(buf), "<u4"), ids, lens, before)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([image], pa.binary())], names=["part", "seq", "image"])
 
         for batch in batches:
             for piece in text_slices(batch, 1, 1 << 18):  # small pieces: a chunk is new once
@@ -158,39 +183,48 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> Data
         if ids:
             yield flush()
 
-    return written(dealt.mapInArrow(run, "part int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"), "token-files")
+    return written(dealt.mapInArrow(run, "part int, seq int, image binary"), "token-files")
+
+
+def located(image: bytes, base: int):
+    """doc_id (with nulls), start, n_tokens and ids_crc32 of the documents of one file; base: ids of the partitions before."""
+    import zlib
+
+    import numpy as np
+
+    records, ids = documents(image), unpack(image)
+    raw, lens = ids.tobytes(), records["ids"].astype(np.int64)
+    ends = np.cumsum(lens)
+    if (int(ends[-1]) if len(ends) else 0) != len(ids):
+        raise ValueError("a bit-plane file and its document index disagree")
+    begins = ends - lens
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return records["doc_id"], records["has_id"] == 0, begins + (base + trailer(image)[3]), lens, crc
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 per document, from the file images alone plus each file's document lengths.
+    """doc_id, start, n_tokens, ids_crc32 per document, from the file images alone.
 
     For the offsets one number per partition goes to the driver and back: as many as the
-    writing job had partitions.
+    writing job had partitions. It is read from the trailers.
     """
+    number = lambda back: F.conv(F.hex(F.expr(f"substring(image, length(image) - {back - 1}, 8)")), 16, 10).cast("long")
+    ids = number(len(END) + 8) + number(len(END) + 16)
     total, base = 0, {}
-    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+    for r in files.groupBy("part").agg(F.max(ids).alias("n")).orderBy("part").collect():
         base[r["part"]] = total
         total += r["n"]
     starts = files.sparkSession.sparkContext.broadcast(base)
 
     def run(batches):
-        import zlib
-
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
-                part, before, ids, lens, image = (c[i].as_py() for c in batch.columns)
-                raw = unpack(image).tobytes()
-                ends = np.cumsum(lens)
-                if ends[-1] * 4 != len(raw):
-                    raise ValueError("a bit-plane file and its document lengths disagree")
-                begins = ends - lens
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins + before + starts.value[part], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return files.select("part", "before", "doc_ids", "lengths", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                doc, none, start, n, crc = located(batch.column(1)[i].as_py(), starts.value[batch.column(0)[i].as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=none), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("part", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_files(files: DataFrame, folder: str) -> int:

@@ -120,11 +120,53 @@ def test_token_files(spark, docs, rows, tmp_path):
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     n = token_files.export_files(files, str(tmp_path))
-    back = sum(len(token_files.unpack(p.read_bytes())) for p in tmp_path.iterdir())
-    assert n == len(list(tmp_path.iterdir())) and back == at
+    # The exported files alone tell all of it.
+    base, from_files = 0, []
+    for p in sorted(tmp_path.iterdir()):
+        image = p.read_bytes()
+        before, count = token_files.trailer(image)[3:]
+        from_files += list(zip(*(list(c) for c in token_files.located(image, base - before)), strict=True))
+        base += count
+    assert n == len(list(tmp_path.iterdir())) and base == at
+    assert [(int(d), int(a), int(k), c) for d, none, a, k, c in from_files if not none] == [tuple(g) for g in got]
     assert token_files.read_token_files(token_files.write_token_files(empty(spark), queries.vocabulary())).count() == 0
 
 
+def test_token_files_cut_and_repeats(spark, monkeypatch):
+    """Files that end after a few ids, a document larger than a file, null and repeated ids."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 50)
+    t = library()
+    texts = ["a b c"] * 30 + ["word " * 400, None, ""] + ["x y z w"] * 20
+    d = spark.createDataFrame([(None if i % 7 == 0 else i // 3, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    files = token_files.write_token_files(d, queries.vocabulary())
+    got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r.start)
+    assert files.count() > 5 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    keys = [(r.doc_id is None, r.doc_id or 0) for r in got]
+    assert keys == sorted(keys)
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i % 7 == 0, 0 if i % 7 == 0 else i // 3, crc(x)) for i, x in enumerate(texts))
+
+
+def test_codec_refuses_other_files():
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        j = json.load(f)
+    for key, other in (("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}]}), ("decoder", {"type": "BPEDecoder"}), ("pre_tokenizer", None)):
+        with pytest.raises(ValueError, match=key):
+            bpe.BpeCodec(json.dumps({**j, key: other}))
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from quantloom.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
 def test_bit_planes():
     r = np.random.default_rng(0)
     for ids in (np.zeros(0, "<u4"), np.zeros(70_000, "<u4"), r.integers(0, 1 << 32, 200_001, dtype=np.uint64).astype("<u4")):
