@@ -102,7 +102,13 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int
 
 
 def nearer(sizes: list[int], counts: list[int], take: list[int], carry: float) -> list[int]:
-    """take, changed so that less is missing (carry, negative if too much): one document more, less, or one swapped for another, the best first. sizes descend."""
+    """take, changed so that less is missing (carry, negative if too much): one document more, less, or one swapped for another, the best first. sizes descend.
+
+    Greedy moves end when less than a word is missing, none helps, or after 40 of them; what
+    is left is then a few words. Where documents are few (their number times the goal within
+    2**31 bits) the nearest reachable sum is found exactly; beyond that greedy moves are near
+    enough, as many sizes offer many swaps.
+    """
     from bisect import bisect_left
 
     take = list(take)
