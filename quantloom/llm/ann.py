@@ -190,7 +190,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERA
                         above = pick[row[pick] > floor[i]]
                         pick = np.sort(np.r_[above, pick[row[pick] == floor[i]][: take - len(above)]])
                     pick = pick[vid[pick] != qid[a + i]]
-                    exact = (v[pick] * part[i]).sum(axis=1)
+                    exact = np.cumsum(v[pick] * part[i], axis=1)[:, -1]  # summed in the order of the components
                     best = np.lexsort((vid[pick], -exact))[:k]
                     out[0].append(np.full(len(best), qid[a + i]))
                     out[1].append(vid[pick][best])

@@ -41,3 +41,17 @@ def test_odd_vectors(spark, tmp_path):
     rows = [(3, [1.0, 0.0]), (1, [2.0, 0.0]), (7, [1.0, 0.2]), (9, [1.0, 0.5]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (8, [inf, 1.0]), (10, [None, 1.0]), (11, []), (12, [1.0, 0.0, 0.0]), (13, [-1.0, 0.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     compare(spark, "op6_embedding_duplicates", str(tmp_path))
+
+
+def test_odd_texts(spark, tmp_path):
+    piece = "".join(f"é{i}" for i in range(120))
+    rows = [(1, None), (2, ""), (3, "ab" * 300), (4, piece), (4, piece), (None, "x" + piece[:200] + "y"), (5, "😀" * 3000), (6, piece[3:] + "." + piece), (7, "k" * 399), (8, "k" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    compare(spark, "op3_repeated_substrings", str(tmp_path))
+
+
+def test_odd_searches(spark, tmp_path):
+    nan = float("nan")
+    rows = [(20, [1.0, 0.5]), (1, [2.0, 0.1]), (2, [2.0, 0.1]), (1, [2.0, 0.1]), (40, [0.0, 0.0]), (60, None), (3, [nan, 1.0]), (80, [1.0, 0.0, 0.0]), (4, [0.3, 0.3, 0.3]), (100, [-1.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    compare(spark, "op8_nearest", str(tmp_path))
