@@ -342,7 +342,10 @@ def _(spark, sf):
     return matrices.spearman_vectors(views.dpanel(spark, sf))
 
 
-@add("a14_distance", "ticker_i s, ticker_j s, value n", ["dranks"], f"select ticker_i, ticker_j, case when ticker_i = ticker_j then 0 else sqrt(greatest(0, least(1, (1 - value) / 2))) end value from ({CORR})")
+DISTANCE = f"select ticker_i, ticker_j, case when ticker_i = ticker_j then 0 else sqrt(greatest(0, least(1, (1 - value) / 2))) end value from ({CORR})"
+
+
+@add("a14_distance", "ticker_i s, ticker_j s, value n", ["dranks"], DISTANCE)
 def _(spark, sf):
     return matrices.distance(matrices.spearman(views.dpanel(spark, sf)))
 
@@ -708,19 +711,55 @@ def _volume(spark, sf):
     return {r["ticker"]: float(r["n"]) for r in views.dense_prices(spark, sf).groupBy("ticker").agg(F.sum("close_price").alias("n")).collect()}
 
 
-@add("o1_o2_greedy_maximin", "rank i, ticker s, marginal n")
+#: A basket grown from its anchor by one ticker a step: `steps` tickers, `best` the value of a candidate over the rows
+#: `rows` that join it with the basket, ties to the larger volume. Baskets are lists, so this suits few tickers only.
+GROWN_SQL = """
+pick(rank, ticker, marginal, chosen) as (
+    select 1, '1-URGENT', cast(null as double), ['1-URGENT']
+    union all
+    select rank, ticker, best, list_append(chosen, ticker)
+    from (select *, row_number() over (order by round(best, 12) desc, n desc, ticker) place
+        from (select p.rank + 1 rank, p.chosen, v.ticker, v.n, {best} best from pick p join volume v on not list_contains(p.chosen, v.ticker) join {rows}
+            where p.rank < {steps} group by all) candidates) ranked
+    where place = 1)"""
+VOLUME_SQL = "volume as materialized (select ticker, sum(close_price) n from dense_prices group by 1)"
+MAXIMIN_SQL = f"with recursive d as materialized ({DISTANCE}), {VOLUME_SQL}, " + GROWN_SQL.replace("{best}", "min(d.value)").replace("{rows}", "d on d.ticker_i = v.ticker and list_contains(p.chosen, d.ticker_j)")
+MAX_DR_SQL = f"with recursive c as materialized ({PAIR_SQL.format(f='covar_samp(a.x, b.x)', v='dfilled')}), {VOLUME_SQL}, " + GROWN_SQL.replace("{best}", "sum(case when c.ticker_i = c.ticker_j then sqrt(c.value) end) / sqrt(sum(c.value))").replace("{rows}", "c on list_contains(list_append(p.chosen, v.ticker), c.ticker_i) and list_contains(list_append(p.chosen, v.ticker), c.ticker_j)")
+#: Medoids from the furthest points on: each round every ticker goes to its nearest medoid and every cluster but the anchor's to its central member, until nothing moves.
+MEDOIDS_SQL = MAXIMIN_SQL.replace("{steps}", "3") + """,
+moved(round, m, stable) as (
+    select 0, chosen, false from pick where rank = 3
+    union all
+    select round + 1, new, new = m
+    from (select round, m, list(ticker order by pos) new
+        from (select *, row_number() over (partition by pos order by round(total, 12), n desc, ticker) place
+            from (select o.round, o.m, o.pos, v.ticker, v.n, case when o.pos = 1 and v.ticker = o.m[1] then -1 else sum(d.value) end total
+                from (select round, m, pos, list(ticker) members
+                    from (select s.round, s.m, d.ticker_i ticker, list_position(s.m, d.ticker_j) pos
+                        from moved s join d on list_contains(s.m, d.ticker_j) where not s.stable and s.round < 25
+                        qualify row_number() over (partition by d.ticker_i order by d.value, list_position(s.m, d.ticker_j)) = 1) owned
+                    group by all) o
+                join volume v on list_contains(o.members, v.ticker) join d on d.ticker_i = v.ticker and list_contains(o.members, d.ticker_j)
+                group by o.round, o.m, o.pos, v.ticker, v.n) totals) central
+        where place = 1 group by round, m) one_round),
+last as (select m from moved order by round desc limit 1),
+owned as (select d.ticker_j ticker, d.value from last join d on list_contains(m, d.ticker_j) qualify row_number() over (partition by d.ticker_i order by d.value, list_position(m, d.ticker_j)) = 1)
+select row_number() over (order by ticker <> '1-URGENT', count(*) desc, avg(value), ticker) selection_rank, ticker, count(*) cluster_size, avg(value) avg_cluster_distance, cast(ticker = '1-URGENT' as int) is_anchor_medoid from owned group by ticker"""
+
+
+@add("o1_o2_greedy_maximin", "rank i, ticker s, marginal n", ["dranks", "dense_prices"], f"select * from ({MAXIMIN_SQL.replace('{steps}', '4')} select rank, ticker, marginal from pick) q")
 def _(spark, sf):
     names, _, _, d = _matrices(spark, sf)
     return selection.basket(spark, selection.greedy_maximin(names, d, _volume(spark, sf), 4, ["1-URGENT"]))
 
 
-@add("o3_k_medoids", "selection_rank i, ticker s, cluster_size i, avg_cluster_distance n, is_anchor_medoid i")
+@add("o3_k_medoids", "selection_rank i, ticker s, cluster_size i, avg_cluster_distance n, is_anchor_medoid i", ["dranks", "dense_prices"], f"select * from ({MEDOIDS_SQL}) q")
 def _(spark, sf):
     names, _, _, d = _matrices(spark, sf)
     return spark.createDataFrame(selection.k_medoids(names, d, _volume(spark, sf), 3, ["1-URGENT"]), "selection_rank int, ticker string, cluster_size int, avg_cluster_distance double, is_anchor_medoid int")
 
 
-@add("o4_greedy_max_dr", "rank i, ticker s, marginal n")
+@add("o4_greedy_max_dr", "rank i, ticker s, marginal n", ["dfilled", "dense_prices"], f"select * from ({MAX_DR_SQL.replace('{steps}', '4')} select rank, ticker, marginal from pick) q")
 def _(spark, sf):
     names, _, cov, _ = _matrices(spark, sf)
     return selection.basket(spark, selection.greedy_max_dr(names, cov, _volume(spark, sf), 4, ["1-URGENT"]))
